@@ -26,6 +26,23 @@ COEFFICIENTS = ("click", "error", "purchase", "signup", "view")
 CHAINS, ITERATIONS = 3, 20
 
 
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int,"
+    " p_retailprice double",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double,"
+    " c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
+    " l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
+    " l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,"
+    " value double, props string",
+}
+
+
 class Tables:
     """Bound tables of one data folder."""
 
@@ -35,7 +52,7 @@ class Tables:
         self._normals = None
 
     def read(self, name: str, *columns: str) -> DataFrame:
-        return read_table(self.spark, f"{self.folder}/{name}.parquet", columns)
+        return read_table(self.spark, f"{self.folder}/{name}.parquet", columns, SCHEMAS[name])
 
     # survey ---------------------------------------------------------------
     def species(self) -> DataFrame:

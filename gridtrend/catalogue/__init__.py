@@ -1,6 +1,7 @@
 """Every registered query and its SQL oracle."""
 
-from gridtrend.catalogue import field, weather
+from gridtrend.catalogue import field, modelling, weather
 
-QUERIES = {**field.QUERIES, **weather.QUERIES}
-ORACLES = {**field.ORACLES, **weather.ORACLES}
+_MODULES = (field, weather, modelling)
+QUERIES = {name: build for m in _MODULES for name, build in m.QUERIES.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

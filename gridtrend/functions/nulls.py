@@ -49,13 +49,8 @@ def ratio(num: Column | str, den: Column | str) -> Column:
     """Division with 0/0 = NaN and x/0 = +-Inf instead of an ANSI error."""
     n = as_column(num).cast("double")
     d = as_column(den).cast("double")
-    return (
-        F.when(n.isNull() | d.isNull(), F.lit(None).cast("double"))
-        .when(d != 0, n / F.nullif(d, F.lit(0.0)))
-        .when(F.isnan(n) | (n == 0), F.lit(NAN))
-        .when(n > 0, F.lit(INF))
-        .otherwise(F.lit(-INF))
-    )
+    signed = F.when(n > 0, F.lit(INF)).when(n < 0, F.lit(-INF)).otherwise(n * F.lit(NAN))
+    return F.when(d == 0, signed).otherwise(n / F.nullif(d, F.lit(0.0)))
 
 
 def zero_for_nan(x: Column | str) -> Column:

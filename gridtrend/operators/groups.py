@@ -44,18 +44,22 @@ def attach(
     weight: str,
     broadcast_rows: int = BROADCAST_ROWS,
     hot_groups: int = HOT_GROUPS,
+    written: bool = False,
+    size: int | None = None,
 ) -> DataFrame:
     """Left-join ``stats`` (one row per group) to ``df``; null keys match.
 
     ``weight`` is the column of ``stats`` with the number of rows of ``df`` per
-    group; it only ranks the groups and is not part of the result.
+    group; it only ranks the groups and is not part of the result. ``written``
+    says that ``stats`` already reads from a checkpoint, ``size`` its row count
+    where that is known.
     """
     wanted = [c for c in stats.columns if c not in keys and c != weight]
-    stats = cut(stats)
+    stats = stats if written else cut(stats)
     packed = stats.select(*keys, F.struct(*wanted).alias("__stat"), weight)
     fields = [F.col(f"__stat.{c}").alias(c) for c in wanted]
 
-    if stats.count() <= broadcast_rows:
+    if (stats.count() if size is None else size) <= broadcast_rows:
         right = F.broadcast(_renamed(packed, keys, "__k_"))
         same = _all([F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
         joined = df.join(right, same, "left").withColumn("__stat", F.col("__k_stat"))

@@ -65,9 +65,8 @@ def with_relative_fertility(rows: DataFrame) -> DataFrame:
         F.when(F.col("f_n") == F.col("rows"), F.col("f_sum")).alias("site_species_fertile"),
         F.col("rows").alias("__rows"),
     )
-    return attach(rows, stats, ["site_id", "species"], "__rows").withColumn(
-        "rel_fertile", zero_for_nan(ratio("prop_fertile", "mean_fertile"))
-    )
+    out = attach(rows, stats, ["site_id", "species"], "__rows", written=True)
+    return out.withColumn("rel_fertile", zero_for_nan(ratio("prop_fertile", "mean_fertile")))
 
 
 def curate(

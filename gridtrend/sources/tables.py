@@ -15,7 +15,7 @@ def read_table(
     spark: SparkSession,
     path: str,
     columns: Sequence[str] | None = None,
-    schema: StructType | None = None,
+    schema: StructType | str | None = None,
 ) -> DataFrame:
     """Saved frame or exported table (Parquet), pruned to ``columns``."""
     reader = spark.read.schema(schema) if schema is not None else spark.read
