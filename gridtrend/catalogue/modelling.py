@@ -139,7 +139,7 @@ def three_way_glm(t: Tables) -> DataFrame:
 
 
 _SIMPSON = (
-    "list_sum(list_transform(range(0, 2001), i -> exp(-((i * abs(z) / 2000) ** 2) / 2)"
+    "list_sum(list_transform(range(0, 2001), lambda i: exp(-((i * abs(z) / 2000) ** 2) / 2)"
     " * CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END))"
     " * abs(z) / 6000"
 )

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridtrend.models.design import Design, factor_levels, treatment_design, variables
@@ -70,6 +70,10 @@ def count_cells(df: DataFrame, k: str, n: str, columns: Sequence[str]) -> DataFr
     return cut(kept.groupBy(*columns).agg(F.sum("k").alias("k"), F.sum("n").alias("n")))
 
 
+def _sums(name: str, parts: Sequence[str]) -> Column:
+    return F.expr(f"array({', '.join(f'sum({p})' for p in parts)})").alias(name)
+
+
 def fit_mixed(
     df: DataFrame,
     k: str,
@@ -78,8 +82,8 @@ def fit_mixed(
     random: Sequence[Random],
     factors: Sequence[str] = (),
     prior_precision: float = 0.0,
-    max_iter: int = 15,
-    tol: float = 1e-4,
+    max_iter: int = 12,
+    tol: float = 1e-3,
 ) -> MixedFit:
     """``cbind(k, n - k) ~ terms + random``.
 
@@ -109,6 +113,7 @@ def fit_mixed(
     beta[0] = math.log(overall / (1 - overall))
     sigma2 = [1.0] * len(random)
     effects: list[DataFrame | None] = [None] * len(random)
+    errors: list[tuple[DataFrame, str] | None] = [None] * len(random)
     sizes = [0] * len(random)
     vcov, converged, iteration = np.eye(size), False, 0
 
@@ -143,57 +148,45 @@ def fit_mixed(
                     F.expr("count(1)").alias("rows"),
                 )
             )
-            penalty = 1.0 / sigma2[t]
+            # sums over groups; the last three give sum(u^2) and sum(v) once beta is known
+            shrunk = f"(a + {1.0 / sigma2[t]!r}D)"
             upper = [(i, j) for i in range(size) for j in range(i, size)]
+            every = range(size)
             totals = per_group.agg(
-                F.expr(
-                    "array("
-                    + ", ".join(
-                        f"sum(g[{q}] - b[{i}] * b[{j}] / (a + {penalty!r}D))"
-                        for q, (i, j) in enumerate(upper)
-                    )
-                    + ")"
-                ).alias("s"),
-                F.expr(
-                    "array("
-                    + ", ".join(
-                        f"sum(h[{i}] - b[{i}] * c / (a + {penalty!r}D))" for i in range(size)
-                    )
-                    + ")"
-                ).alias("v"),
-                F.expr("count(1)").alias("groups"),
+                _sums("s", [f"g[{q}] - b[{i}] * b[{j}] / {shrunk}" for q, (i, j) in enumerate(upper)]),
+                _sums("v", [f"h[{i}] - b[{i}] * c / {shrunk}" for i in every]),
+                _sums("bb", [f"b[{i}] * b[{j}] / pow({shrunk}, 2)" for i, j in upper]),
+                _sums("cb", [f"c * b[{i}] / pow({shrunk}, 2)" for i in every]),
+                _sums("cc", [f"c * c / pow({shrunk}, 2)", f"1 / {shrunk}", "1D"]),
             ).first()
             schur = square(np.array(totals["s"]), size) + prior_precision * np.eye(size)
             vcov = np.linalg.inv(schur)
             beta = vcov @ np.array(totals["v"])
-            sizes[t] = totals["groups"]
+            bb = square(np.array(totals["bb"]), size)
+            cc, inverse, count = totals["cc"]
+            uu = cc - 2 * beta @ np.array(totals["cb"]) + beta @ bb @ beta
+            v = inverse + np.sum(vcov * bb)
+            sizes[t] = int(count)
             explained = " + ".join(f"({float(x)!r}D) * b[{i}]" for i, x in enumerate(beta))
-            spread = " + ".join(
-                f"({float(vcov[i, j])!r}D) * b[{i}] * b[{j}]"
-                for i in range(size)
-                for j in range(size)
-            )
             effects[t] = per_group.selectExpr(
-                f"`{term.group}`",
-                f"(c - ({explained})) / (a + {penalty!r}D) AS u",
-                f"1 / (a + {penalty!r}D) + ({spread}) / pow(a + {penalty!r}D, 2) AS v",
-                "rows",
+                f"`{term.group}`", f"(c - ({explained})) / {shrunk} AS u", "rows"
             )
-            m = effects[t].agg(F.expr("sum(u * u) AS uu"), F.expr("sum(v) AS v")).first()
-            free = max(totals["groups"] - m["v"] / sigma2[t], 1e-3)
-            sigma2[t] = max(m["uu"] / free, 1e-6)
+            errors[t] = (per_group, shrunk)
+            free = max(count - v / sigma2[t], 1e-3)
+            sigma2[t] = float(max(uu / free, 1e-6))
         moved = max(np.max(np.abs(beta - old_beta) / (np.abs(beta) + 0.1)), 0.0)
         changed = max(abs(a - b) / (a + 0.01) for a, b in zip(sigma2, old_sigma2))
         if moved < tol and changed < 10 * tol:
             converged = True
             break
-    return MixedFit(
-        design,
-        beta,
-        vcov,
-        {r.name: s for r, s in zip(random, sigma2)},
-        {r.name: e.selectExpr(f"`{r.group}`", "u AS effect", "sqrt(v) AS std_error")
-         for r, e in zip(random, effects)},
-        iteration,
-        converged,
-    )
+    spread = " + ".join(
+        f"({float(vcov[i, j])!r}D) * b[{i}] * b[{j}]" for i in range(size) for j in range(size)
+    )
+    estimates = {}
+    for r, effect, (per_group, shrunk) in zip(random, effects, errors):
+        se = per_group.selectExpr(
+            f"`{r.group}`", f"sqrt(1 / {shrunk} + ({spread}) / pow({shrunk}, 2)) AS std_error"
+        )
+        estimates[r.name] = effect.selectExpr(f"`{r.group}`", "u AS effect").join(se, r.group)
+    variances = {r.name: float(s) for r, s in zip(random, sigma2)}
+    return MixedFit(design, beta, vcov, variances, estimates, iteration, converged)
