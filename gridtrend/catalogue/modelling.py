@@ -268,10 +268,13 @@ def species_glm(t: Tables) -> DataFrame:
     )
 
 
+MIXED_TOL = 5e-3
+
+
 def _year_mixed(t: Tables) -> mixed.MixedFit:
     return mixed.fit_mixed(
         t.curated(), "sum_fertile", "n_occurrence", ["year"],
-        [mixed.Random("species"), mixed.Random("block_id")], ["year"],
+        [mixed.Random("species"), mixed.Random("block_id")], ["year"], tol=MIXED_TOL,
     )
 
 
@@ -286,7 +289,7 @@ def grid_prediction(t: Tables) -> DataFrame:
     rows = cut(t.curated().select("year", "species", "block_id", "sum_fertile", "n_occurrence"))
     fit = mixed.fit_mixed(
         rows, "sum_fertile", "n_occurrence", ["year"],
-        [mixed.Random("species"), mixed.Random("block_id")], ["year"],
+        [mixed.Random("species"), mixed.Random("block_id")], ["year"], tol=MIXED_TOL,
     )
     grid = level_grid(t.spark, {"year": distinct_levels(rows, "year")})
     return glm.predict_grid(grid, fit)
@@ -296,7 +299,7 @@ def grid_prediction(t: Tables) -> DataFrame:
 def mixed_slopes(t: Tables) -> DataFrame:
     fit = mixed.fit_mixed(
         t.model_data(), "sum_fertile", "n_occurrence", ["summer_temp_anomaly_sc"],
-        [mixed.Random("species"), mixed.Random("species", "summer_temp_anomaly_sc")],
+        [mixed.Random("species"), mixed.Random("species", "summer_temp_anomaly_sc")], tol=MIXED_TOL,
     )
     return glm.coefficient_table(t.spark, {"PQL": fit})
 
@@ -312,6 +315,7 @@ def ridge_hierarchical(t: Tables) -> DataFrame:
     fit = mixed.fit_mixed(
         t.model_data(), "sum_fertile", "n_occurrence", HIERARCHICAL_TERMS,
         [mixed.Random(g) for g in ("species", "site_id", "year")], prior_precision=0.001,
+        tol=MIXED_TOL,
     )
     return glm.coefficient_table(t.spark, {"hierarchical": fit})
 

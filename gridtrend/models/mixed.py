@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from gridtrend.models.design import Design, factor_levels, treatment_design, variables
 from gridtrend.models.grouped import square, upper_sums
-from gridtrend.operators.groups import attach
+from gridtrend.operators.groups import BROADCAST_ROWS, attach
 from gridtrend.session import cut
 
 
@@ -70,6 +70,16 @@ def count_cells(df: DataFrame, k: str, n: str, columns: Sequence[str]) -> DataFr
     return cut(kept.groupBy(*columns).agg(F.sum("k").alias("k"), F.sum("n").alias("n")))
 
 
+def _with_effect(
+    rows: DataFrame, effect: DataFrame, group: str, name: str, size: int
+) -> DataFrame:
+    """Bring a group's effect to its rows: broadcast if its counted size allows."""
+    named = effect.selectExpr(f"`{group}`", f"u AS {name}", "rows")
+    if size <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(named.drop("rows")), group)
+    return attach(rows, named, [group], "rows", written=True, size=size)
+
+
 def _sums(name: str, parts: Sequence[str]) -> Column:
     return F.expr(f"array({', '.join(f'sum({p})' for p in parts)})").alias(name)
 
@@ -120,22 +130,20 @@ def fit_mixed(
     for iteration in range(1, max_iter + 1):
         old_beta, old_sigma2 = beta.copy(), list(sigma2)
         for t, term in enumerate(random):
-            at = data
-            for s, effect in enumerate(effects):
-                if effect is not None:
-                    at = attach(at, effect.selectExpr(f"`{random[s].group}`", f"u AS u{s}", "rows"),
-                                [random[s].group], "rows", written=True, size=sizes[s])
             known = [s for s, e in enumerate(effects) if e is not None]
+            at = data
+            for s in known:
+                at = _with_effect(at, effects[s], random[s].group, f"u{s}", sizes[s])
             others = " + ".join([f"u{s} * {ms[s]}" for s in known if s != t] or ["0D"])
             own = f"u{t} * {ms[t]}" if t in known else "0D"
             fixed = " + ".join(f"({float(b)!r}D) * {x}" for b, x in zip(beta, xs))
             at = (
-                at.withColumn("other", F.expr(others))
-                .withColumn("eta", F.expr(f"{fixed} + other + {own}"))
-                .withColumn("mu", F.expr("1 / (1 + exp(-greatest(least(eta, 30D), -30D)))"))
-                .withColumn("wt", F.expr("n * mu * (1 - mu)"))
-                .withColumn("r", F.expr("eta + (k - n * mu) / wt - other"))
-            )
+                at.selectExpr(term.group, "k", "n", *xs, ms[t], f"{others} AS other",
+                              f"{fixed} + {others} + {own} AS eta")
+                .selectExpr("*", "1 / (1 + exp(-greatest(least(eta, 30D), -30D))) AS mu")
+                .selectExpr("*", "n * mu * (1 - mu) AS wt")
+                .selectExpr("*", "eta + (k - n * mu) / wt - other AS r")
+            )
             cross = ", ".join(f"sum(wt * {ms[t]} * {x})" for x in xs)
             right = ", ".join(f"sum(wt * {x} * r)" for x in xs)
             per_group = cut(
