@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridtrend.operators.groups import attach
-from gridtrend.session import cut
+from gridtrend.session import cut_ordered
 
 LEVEL_LIMIT = 10_000
 
@@ -20,7 +20,7 @@ def row_id(df: DataFrame, order: Sequence[str], name: str = "id") -> DataFrame:
     in its partition plus the sizes of the partitions before it. Only those
     sizes (one number per partition) meet in one place.
     """
-    ordered = cut(df.orderBy(*[F.col(c).asc_nulls_last() for c in order]))
+    ordered = cut_ordered(df.orderBy(*[F.col(c).asc_nulls_last() for c in order]))
     at = F.monotonically_increasing_id()
     placed = ordered.withColumn("__at", at).select(
         *df.columns,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,10 +41,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it back.
+    """Write ``df`` as a table in the checkpoint folder and read it back.
 
-    Used where a frame is scanned several times (model iterations) or where a
-    partition number has to stay the same for every later reader.
+    Used where a frame is scanned several times (model iterations, group
+    statistics) or a value has to stay the same for every later reader. A
+    written table survives lost executors, carries its real size for the
+    planner, and, unlike a checkpointed plan, hands no constraints of its
+    origin on to the next iteration.
     """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/gridtrend-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_ordered(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: keeps the partitions and the order of their rows."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
