@@ -12,7 +12,6 @@ import compare  # noqa: E402
 from gridtrend.catalogue import ORACLES, QUERIES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"means_vs_fitted"}
 
 
 @pytest.fixture(scope="module")
@@ -24,6 +23,6 @@ def test_catalogue_is_consistent():
     assert set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, con, name):
     assert compare.compare(spark, con, name, SF)[1] == "ok"
