@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridtrend.session import ensure_checkpoint_dir
+
 #: A word is a run of characters other than these white-space characters.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows and bytes up to which a counted table may be broadcast.
@@ -38,14 +41,6 @@ def uniform_key(seed: str, *columns: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *parts).cast("binary"))
 
 
-def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Equal keys, null equal to null."""
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & left[k].eqNullSafe(right[k])
-    return condition
-
-
 def small(df: DataFrame, row_bytes: int = 64) -> bool:
     """Whether a table is proved small enough to broadcast: its rows are counted,
     up to the limit only, at ``row_bytes`` each."""
@@ -53,14 +48,33 @@ def small(df: DataFrame, row_bytes: int = 64) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the shared checkpoint folder."""
-    import uuid
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
 
-    from gridtrend.session import ensure_checkpoint_dir
+def keep(df: DataFrame) -> DataFrame:
+    """Write ``df`` below the shared checkpoint folder and read it back, like ``cut``;
+    ``release`` removes what was written so."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+
+def new_folder(spark: SparkSession, released: bool = True) -> str:
+    """A new path in the shared checkpoint folder, which ``release`` removes or not."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/llm-{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/llm-{uuid.uuid4().hex}"
+    if released:
+        _SCRATCH.append((spark, path))
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the tables that ``keep`` has written in this session. Call it only
+    when every result that reads them has been written."""
+    for owner, path in [x for x in _SCRATCH if x[0] is spark]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _SCRATCH.remove((owner, path))
 
 
 def running_sums(
@@ -69,31 +83,25 @@ def running_sums(
     """Add, for each ``name: value`` of ``sums``, the sum of ``value`` over the rows
     before this one in its group, in the order of ``key`` and then ``ties``.
 
-    ``key`` is a uniform hexadecimal hash. A group is cut into cells of equal key
-    ranges; only one row of sums per cell meets in a window of the whole group, and
-    the rows are windowed within their cell, so a group with a third of all rows is
-    spread over many tasks. ``df`` is read three times: pass a written table.
+    ``key`` is a hexadecimal hash. A group is cut into cells of equal key ranges;
+    only one row of sums per cell meets in a window of the whole group, and the rows
+    are windowed within their cell, so a group with a third of all rows is spread
+    over many tasks. ``df`` is read three times and its rows are shuffled once.
     """
     cells = max(1, min(MOST_CELLS, -(-df.count() // CELL_ROWS)))
     place = F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * F.lit(cells)
-    rows = df.withColumn("__cell", F.shiftright(place, 32))
-    keys = [*group, "__cell"]
-    totals = rows.groupBy(*keys).agg(*[F.sum(v).alias(f"__all_{n}") for n, v in sums.items()])
-    earlier = Window.partitionBy(*group).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    parts = [F.coalesce(F.concat(F.lit("+"), F.col(g).cast("string")), F.lit("-")) for g in group]
+    rows = df.withColumns({"__group": F.concat_ws("|", *parts), "__cell": F.shiftright(place, 32)})
+    totals = rows.groupBy("__group", "__cell").agg(*[F.sum(v).alias(f"__all_{n}") for n, v in sums.items()])
+    earlier = Window.partitionBy("__group").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(
-        *[F.col(k).alias(f"__k_{k}") for k in keys],
+        "__group",
+        "__cell",
         *[F.coalesce(F.sum(f"__all_{n}").over(earlier), F.lit(0)).alias(f"__before_{n}") for n in sums],
     )
-    match = F.lit(True)
-    for k in keys:
-        match = match & rows[k].eqNullSafe(before[f"__k_{k}"])
-    within = (
-        Window.partitionBy(*keys)
-        .orderBy(key, *[F.col(t).asc_nulls_first() for t in ties])
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    joined = rows.join(before, match, "left")
-    return joined.select(
+    order = Window.partitionBy("__group", "__cell").orderBy(key, *[F.col(t).asc_nulls_first() for t in ties])
+    within = order.rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(before, ["__group", "__cell"]).select(
         *df.columns,
         *[
             (F.col(f"__before_{n}") + F.coalesce(F.sum(v).over(within), F.lit(0))).alias(n)

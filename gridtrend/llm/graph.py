@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridtrend.session import cut
+from gridtrend.llm.common import keep
+
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,10 +19,10 @@ def components(edges: DataFrame) -> DataFrame:
     written table; edges to a node with very many neighbours are aggregated on the
     map side first.
     """
-    both = cut(
+    both = keep(
         edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     )
-    labels = cut(
+    labels = keep(
         both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("root"))
     )
     while True:
@@ -32,9 +33,9 @@ def components(edges: DataFrame) -> DataFrame:
         )
         seen = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
         offers = seen.select(F.col("root").alias("node"), "low").union(seen.select("node", "low"))
-        parent = cut(offers.groupBy("node").agg(F.min("low").alias("up")))
+        parent = keep(offers.groupBy("node").agg(F.min("low").alias("up")))
         above = parent.select(F.col("node").alias("up"), F.col("up").alias("root"))
-        after = cut(parent.join(above, "up").select("node", "root"))
+        after = keep(parent.join(above, "up").select("node", "root"))
         moved = after.join(labels.withColumnRenamed("root", "was"), "node").filter("root <> was")
         done = moved.isEmpty()
         labels = after

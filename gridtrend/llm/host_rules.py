@@ -12,8 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridtrend.llm.common import SPACE, small, words
-from gridtrend.session import cut
+from gridtrend.llm.common import SPACE, keep, small, words
 
 SYMBOLS = "#*$%&|<>"
 RULES = ("short", "repeats", "symbols", "dup_lines", "word_length")
@@ -95,7 +94,7 @@ def shrunk_rates(flags: DataFrame, host: str = "source") -> DataFrame:
     and the prior's strength K = m (1 - m) / V - 1, so a rate becomes
     (failures + m K) / (n + K). Rows without a host are left out.
     """
-    hosts = cut(
+    hosts = keep(
         flags.filter(F.col(host).isNotNull())
         .groupBy(host)
         .agg(F.count(F.lit(1)).alias("n"), *[F.sum(r).alias(r) for r in RULES])
@@ -134,9 +133,9 @@ def verdicts(whole: DataFrame, host: str = "source", limit: float = LIMIT) -> Da
     host only the base rules count. Repeated rows are judged, and counted, each.
     """
     fails = failures()
-    whole = cut(whole.withColumn("base_failed", fails["short"] | fails["repeats"]))
+    whole = keep(whole.withColumn("base_failed", fails["short"] | fails["repeats"]))
     flags = whole.select(host, *[v.cast("int").alias(r) for r, v in fails.items()])
-    bad = cut(rejected_hosts(shrunk_rates(flags, host), host, limit))
+    bad = keep(rejected_hosts(shrunk_rates(flags, host), host, limit))
     if small(bad, 128):
         bad = F.broadcast(bad)
     marked = whole.join(bad, F.col(host) == F.col("__host"), "left")

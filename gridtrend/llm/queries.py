@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtrend.llm import host_rules, simhash
-from gridtrend.llm.common import table
+from gridtrend.llm import curriculum, decontaminate, host_rules, sharding, simhash, warc
+from gridtrend.llm.common import keep, table
 
 QUERIES = {}
 ORACLES = {}
@@ -31,6 +31,43 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id", "n_links")
 
 
+@query
+def op6_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = curriculum.takes(docs)
+    return mixed.select(
+        "doc_id",
+        F.col("__size").alias("size"),
+        F.col("__source_size").alias("source_size"),
+        F.col("__target").alias("target"),
+        F.aggregate("__takes", F.lit(0).cast("long"), lambda s, x: s + x["words"]).alias("taken"),
+        F.floor(F.array_min(F.transform("__takes", lambda x: x["position"])) * 1e6).alias("position_ppm"),
+    )
+
+
+@query
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    numbered = docs.withColumn("__rid", F.monotonically_increasing_id())
+    measures = keep(sharding.measured(numbered, "doc_id"))
+    return measures.drop("group").join(sharding.assign(measures), "rid").select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+@query
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "match.*")
+
+
 ORACLES["op8_host_rules"] = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS body FROM documents
@@ -79,3 +116,50 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, shor
        NOT (short OR repeats) AND bad.source IS NULL AS kept
 FROM f LEFT JOIN bad ON f.source = bad.source
 """
+
+ORACLES["op6_curriculum"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         md5('mix|' || coalesce(doc_id::VARCHAR, '')) AS key
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) AS place FROM s
+), v AS (
+  SELECT *, [5.0, 2.0, 1.0][place + 1]::DOUBLE AS weight FROM w
+), r AS (
+  SELECT *, row_number() OVER (ORDER BY 2.0 * source_size / weight, source NULLS LAST) AS k FROM v
+), p AS (
+  SELECT *, coalesce(sum(2.0 * source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_,
+         sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free_,
+         1.5 * sum(source_size) OVER () AS demand
+  FROM r
+), l AS (
+  SELECT arg_min((demand - full_) / free_, k) FILTER (WHERE 2.0 * source_size / weight >= (demand - full_) / free_) AS level FROM p
+), t AS (
+  SELECT source, place, source_size, least(2.0 * source_size, coalesce(level, 0) * weight)::DOUBLE AS target FROM v, l
+), c AS (
+  SELECT d.*, place, source_size, target, floor(target)::BIGINT AS wanted,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY key, doc_id NULLS FIRST, d.size, rid
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), o AS (
+  SELECT rid, place, greatest(0, least(c.size, wanted - (start + k * source_size))) AS words,
+         CASE WHEN wanted > 0 THEN (start + k * source_size)::DOUBLE / wanted ELSE 0 END AS part
+  FROM c, (VALUES (0), (1)) n(k)
+), q AS (
+  SELECT rid, words, CASE place
+      WHEN 0 THEN 2.0 * (part * 0.75) / (1.0 + sqrt(greatest(0.0, 1.0 + -1.0 * (part * 0.75))))
+      WHEN 1 THEN 2.0 * (part * 0.75) / (0.5 + sqrt(greatest(0.0, 0.25 + 1.0 * (part * 0.75))))
+      ELSE CASE WHEN part * 0.75 < 0.375
+        THEN 2.0 * (part * 0.75) / (0.5 + sqrt(greatest(0.0, 0.25 + 2.0 * (part * 0.75))))
+        ELSE 0.5 + 2.0 * (part * 0.75 - 0.375) / (1.0 + sqrt(greatest(0.0, 1.0 + -2.0 * (part * 0.75 - 0.375)))) END
+    END AS position
+  FROM o WHERE words > 0
+)
+SELECT c.doc_id, c.size, source_size, target, coalesce(sum(words), 0)::BIGINT AS taken,
+       floor(min(position) * 1e6)::BIGINT AS position_ppm
+FROM c LEFT JOIN q USING (rid) GROUP BY c.rid, c.doc_id, c.size, source_size, target
+"""

@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from gridtrend.llm.common import keep
 from gridtrend.llm.graph import components
-from gridtrend.session import cut
 
 SEED = 42
 SHINGLE = 3
@@ -103,17 +103,17 @@ def meet(keys: DataFrame, radius: int) -> DataFrame:
 def links(prints: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """Every pair a < b of distinct fingerprints (column ``fp``) within the radius."""
     to_pivot = [distance(F.col("fp"), F.lit(p)).cast("int") for p in pivots()]
-    prints = cut(prints.select("fp", F.array(*to_pivot).alias("d")))
+    prints = keep(prints.select("fp", F.array(*to_pivot).alias("d")))
     keys = keyed(prints, block_masks(radius + MATCHED, MATCHED))
-    crowded = cut(
+    crowded = keep(
         keys.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot)
     )
     if crowded.isEmpty():
-        return cut(meet(keys, radius).distinct())
+        return keep(meet(keys, radius).distinct())
     cold = keys.join(crowded.select("table", "key"), ["table", "key"], "left_anti")
-    dense = cut(keys.join(crowded.select("table", "key"), ["table", "key"], "left_semi").select("fp", "d").distinct())
+    dense = keep(keys.join(crowded.select("table", "key"), ["table", "key"], "left_semi").select("fp", "d").distinct())
     fine = keyed(dense, block_masks(radius + FINE_MATCHED, FINE_MATCHED))
-    return cut(meet(cold, radius).union(meet(fine, radius)).distinct())
+    return keep(meet(cold, radius).union(meet(fine, radius)).distinct())
 
 
 def near_classes(
@@ -129,16 +129,16 @@ def near_classes(
     any other. Repeated rows stay repeated. A null id is never a component id unless
     its whole component has none. An empty table gives an empty result.
     """
-    seen = cut(
+    seen = keep(
         docs.select(F.col(id_column).alias("id"), fingerprint(F.col(text_column), shingle).alias("fp"))
     )
-    prints = cut(seen.groupBy("fp").agg(F.min("id").alias("low")))
+    prints = keep(seen.groupBy("fp").agg(F.min("id").alias("low")))
     pairs = links(prints, radius, hot)
     rooted = components(pairs).withColumnRenamed("node", "fp")
     degree = (
         pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
     )
-    joined = cut(prints.join(rooted, "fp").join(degree, "fp"))
+    joined = keep(prints.join(rooted, "fp").join(degree, "fp"))
     lows = joined.groupBy("root").agg(F.min("low").alias("component_id"))
     linked = joined.join(lows, "root").select("fp", "component_id", "n_links")
     classes = prints.join(linked, "fp", "left").select(
