@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtrend.llm import curriculum, decontaminate, host_rules, html_extract, sharding, simhash, suffix_dedup, warc
-from gridtrend.llm.common import keep, table
+from gridtrend.llm import curriculum, decontaminate, host_rules, html_extract, language_id, sharding
+from gridtrend.llm import simhash, suffix_dedup, toxicity, warc
+from gridtrend.llm.common import keep, remainder, table
 
 QUERIES = {}
 ORACLES = {}
@@ -26,6 +27,28 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    model = language_id.learned(docs.filter(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), language_id.language(docs, model).alias("m"))
+    return found.select("doc_id", "held_out", F.col("m.lang").alias("lang_pred"), "m.score", "m.languages")
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    model = toxicity.learned(docs, labels.filter(remainder(F.col("doc_id"), 4) != 2))
+    scores = docs.select("doc_id", "lang", held_out.alias("held_out"), toxicity.scored(docs, model).alias("score"))
+    return scores.select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        toxicity.flagged(F.col("score"), F.col("lang"), model).alias("flagged"),
+    )
+
+
 @query
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
