@@ -33,7 +33,8 @@ from gridtrend.llm.common import keep, new_folder, small
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 ARCHIVE_BYTES = 256 << 20
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+TASK_BYTES = 32 << 20
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END, END64, LOCATOR64, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 
@@ -313,10 +314,12 @@ def read(archives: DataFrame, payload: bool = False) -> DataFrame:
                 found = [{k: x[k] for k in names} for x in records(uri, offset, length)]
                 yield pa.RecordBatch.from_pylist(found, schema=types)
 
-    spread = archives.sparkSession.sparkContext.defaultParallelism
-    places = archives.select("path").repartition(max(1, spread)).mapInPandas(index, "path string, offset long, length long")
-    dealt = places.repartition(F.col("path"), F.col("offset"))
-    return dealt.mapInArrow(fetch, schema)
+    # A range is a tiny row that stands for megabytes, so rows are dealt to a stated
+    # number of tasks: left to their own size, they would all go to one.
+    total = archives.agg(F.sum("bytes")).first()[0] or 0
+    tasks = max(archives.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    places = archives.select("path").repartition(tasks, "path").mapInPandas(index, "path string, offset long, length long")
+    return places.repartition(tasks, "path", "offset").mapInArrow(fetch, schema)
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
