@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -194,11 +195,11 @@ class Page:
         return node
 
     def within(self, path: str) -> str:
-        """Blocks of all containers with a path, in page order."""
+        """Blocks of all containers with a path and text of their own, in page order."""
         out = []
         for node, text in self.blocks:
             while node is not None:
-                if node.path == path:
+                if node.path == path and (node.score or not path):
                     out.append(text)
                     break
                 node = node.up
@@ -222,14 +223,15 @@ def host(url: Column) -> Column:
 def votes(pages: DataFrame) -> DataFrame:
     """(host, path, pages): how many pages of a host chose a path."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            chosen = [Page(h).vote() for h in frame["html"]]
-            out = pd.DataFrame({"host": frame["host"].values, "path": [n.path for n in chosen]})
-            yield out[[n.score > 0 for n in chosen]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages = zip(*(c.to_pylist() for c in batch.columns))
+            found = [(h, n.path) for h, n in ((h, Page(x).vote()) for h, x in pages) if n.score > 0]
+            columns = [pa.array([f[k] for f in found], pa.string()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "path"])
 
     rows = pages.filter("host is not null and html is not null").select("host", "html")
-    return rows.mapInPandas(run, "host string, path string").groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"))
+    return rows.mapInArrow(run, "host string, path string").groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"))
 
 
 def winning_paths(counted: DataFrame) -> DataFrame:

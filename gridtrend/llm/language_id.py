@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ ROUNDS = 12
 #: Units of log(n) that one more language has to gain.
 PENALTY = 2.0
 UNKNOWN = "und"
+FIELDS = ("lang", "score", "languages", "proportions")
 RESULT = "struct<lang: string, score: double, languages: array<string>, proportions: array<double>>"
 
 
@@ -50,18 +52,19 @@ def trigrams(text: str) -> np.ndarray:
 def counted(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """(lang, bucket, n) over all documents with a language; each partition sums first."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for frame in frames:
-            for x, l in zip(frame["x"], frame["l"]):
+        for batch in batches:
+            for x, l in zip(*(c.to_pylist() for c in batch.columns)):
                 into = sums.setdefault(l, np.zeros(BUCKETS, np.int64))
                 into += np.bincount(trigrams(x), minlength=BUCKETS)
         for l, n in sums.items():
             used = np.flatnonzero(n)
-            yield pd.DataFrame({"lang": [l] * len(used), "bucket": used.astype(np.int32), "n": n[used]})
+            columns = [pa.array([l] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(n[used])]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "bucket", "n"])
 
     rows = docs.select(F.col(text).alias("x"), F.col(lang).alias("l")).filter("x is not null and l is not null")
-    parts = rows.mapInPandas(run, "lang string, bucket int, n long")
+    parts = rows.mapInArrow(run, "lang string, bucket int, n long")
     return parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
@@ -138,6 +141,7 @@ def language(docs: DataFrame, model: Mixture, text: str = "text") -> Column:
 
     @F.pandas_udf(RESULT)
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.infer(t) for t in texts], columns=["lang", "score", "languages", "proportions"])
+        found = [shared.value.infer(t) for t in texts]
+        return pd.DataFrame({k: pd.Series([f[k] for f in found], dtype=object) for k in FIELDS})
 
     return run(F.col(text))

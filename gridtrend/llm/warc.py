@@ -23,7 +23,6 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
@@ -295,13 +294,13 @@ def read(archives: DataFrame, payload: bool = False) -> DataFrame:
     """Every record of the archives named in ``path``. First the directories and
     indexes are read, one archive in a task; then ranges of some MB, dealt to all."""
 
-    def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for uri in frame["path"]:
-                found = list(ranges(uri))
-                yield pd.DataFrame(
-                    {"path": [uri] * len(found), "offset": [a for a, _ in found], "length": [n for _, n in found]},
-                ).astype({"path": str, "offset": "int64", "length": "int64"})
+    places_schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                found = [{"path": uri, "offset": a, "length": n} for a, n in ranges(uri)]
+                yield pa.RecordBatch.from_pylist(found, schema=places_schema)
 
     schema = READ + (", payload binary" if payload else "")
     names = [x.split()[0] for x in schema.split(", ")]
@@ -318,7 +317,7 @@ def read(archives: DataFrame, payload: bool = False) -> DataFrame:
     # number of tasks: left to their own size, they would all go to one.
     total = archives.agg(F.sum("bytes")).first()[0] or 0
     tasks = max(archives.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
-    places = archives.select("path").repartition(tasks, "path").mapInPandas(index, "path string, offset long, length long")
+    places = archives.select("path").repartition(tasks, "path").mapInArrow(index, "path string, offset long, length long")
     return places.repartition(tasks, "path", "offset").mapInArrow(fetch, schema)
 
 
