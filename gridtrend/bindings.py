@@ -23,7 +23,8 @@ TEMPERATURE = {1: "alpine", 2: "subalpine", 3: "boreal"}
 PRECIPITATION = {1: "600", 2: "1200", 3: "2000", 4: "2700"}
 SITE_NAMES = {str(i): f"NATION_{i}" for i in range(25)}
 COEFFICIENTS = ("click", "error", "purchase", "signup", "view")
-CHAINS, ITERATIONS = 3, 20
+#: Sampler setting of the draw tables: chains, and kept iterations of each.
+CHAINS, ITERATIONS = 3, 200
 
 
 SCHEMAS = {
@@ -137,8 +138,8 @@ class Tables:
 
         wide = self.species_sizes().select(
             "species",
-            pick("MSo", "SSo", "FSo", "V<e5>r").alias("Flowering start"),
-            pick("H<f8>st", "MSo", "SSo", "FSo", "V<e5>r").alias("Flowering finish"),
+            pick("MSo", "SSo", "FSo", "V<e5>r").alias("Season start"),
+            pick("H<f8>st", "MSo", "SSo", "FSo", "V<e5>r").alias("Season finish"),
             pick("meadow", "mire").alias("Habitat"),
             pick("common", "rare").alias("Common-rear"),
             pick("dry", "moist", "wet").alias("Soil type"),
@@ -222,18 +223,23 @@ class Tables:
         )
 
     def draws_wide(self) -> DataFrame:
-        """One row per (chain, iter) with one small coefficient per event type."""
-        events = self.read("events", "event_id", "user_id", "event_type", "value")
-        iteration = F.floor(F.col("event_id") / 7) % ITERATIONS + 1
+        """One row per (chain, iter) with a small value for each coefficient.
+
+        Five consecutive events are one draw, an event's place among them is its
+        coefficient, and draws beyond the sampler's number are averaged into it, so
+        every event counts and no draw lacks a coefficient.
+        """
+        draw = F.floor(F.col("event_id") / 5) % (CHAINS * ITERATIONS)
+        place = F.col("event_id") % len(COEFFICIENTS)
         return (
-            events.groupBy((F.col("user_id") % CHAINS).alias("chain"), iteration.alias("iter"))
+            self.read("events", "event_id", "value")
+            .groupBy((draw % CHAINS).alias("chain"), (F.floor(draw / CHAINS) + 1).alias("iter"))
             .agg(
                 *[
-                    (F.avg(F.when(F.col("event_type") == c, F.col("value"))) / 100.0 - 0.5).alias(c)
-                    for c in COEFFICIENTS
+                    (F.avg(F.when(place == i, F.col("value"))) / 100.0 - 0.5).alias(c)
+                    for i, c in enumerate(COEFFICIENTS)
                 ]
             )
-            .na.drop()
         )
 
     def pixels(self) -> DataFrame:

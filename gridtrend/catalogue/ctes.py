@@ -44,7 +44,7 @@ def fertile_raw(fertile: str = "fertile", where: str = "treatment IN ('TTC', 'TT
          count(*) AS n_occurrence,
          CASE WHEN count({fertile}) = count(*) THEN sum({fertile})::DOUBLE / count(*) END
            AS prop_fertile,
-         CASE WHEN treatment IS NULL THEN 'RTC' ELSE 'SeedClim' END AS experiment
+         CASE WHEN treatment IS NULL THEN 'removal' ELSE 'gradient' END AS experiment
   FROM community LEFT JOIN turfs USING (turf_id) LEFT JOIN sites ON sites.site_id = turfs.site_id
   WHERE {where}
   GROUP BY ALL)"""
@@ -104,14 +104,14 @@ SPECIES = """species_sizes AS (
 traits AS (
   SELECT species, size::VARCHAR AS "Height",
          CASE size % 5 WHEN 0 THEN 'Host' WHEN 1 THEN 'MSo' WHEN 2 THEN 'SSo' WHEN 3 THEN 'FSo'
-           ELSE 'Var' END AS flowering_finish,
+           ELSE 'Var' END AS season_finish,
          CASE size % 4 WHEN 0 THEN 'MSo' WHEN 1 THEN 'SSo' WHEN 2 THEN 'FSo' ELSE 'Var' END
-           AS flowering_start,
+           AS season_start,
          functional_group, CASE WHEN size % 4 = 0 THEN 'annual' ELSE 'perennial' END AS life_span
   FROM species_sizes)"""
 
 CURATED = """counted AS (
-  SELECT fertile_raw.*, functional_group, life_span, flowering_start,
+  SELECT fertile_raw.*, functional_group, life_span, season_start,
          count(*) OVER (PARTITION BY turf_id, species) AS n_years
   FROM fertile_raw LEFT JOIN traits USING (species) WHERE year <> 1996),
 grouped AS (

@@ -86,7 +86,7 @@ def site_meta(t: Tables) -> DataFrame:
 
 @query(
     "trait_pivot",
-    with_traits('SELECT species, "Height", flowering_start, flowering_finish, functional_group,'
+    with_traits('SELECT species, "Height", season_start, season_finish, functional_group,'
                 " life_span FROM traits"),
 )
 def trait_pivot(t: Tables) -> DataFrame:
@@ -121,7 +121,7 @@ def table1(t: Tables) -> DataFrame:
 
 
 CURATED_COLUMNS = [
-    *RAW, "sum_fertile", "n_occurrence", "functional_group", "life_span", "flowering_start",
+    *RAW, "sum_fertile", "n_occurrence", "functional_group", "life_span", "season_start",
     "n_years", "site_species_fertile", "temp_level", "prec_level",
 ]
 CURATED_ROUNDED = {

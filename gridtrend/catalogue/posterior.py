@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridtrend.bindings import COEFFICIENTS, ITERATIONS, PRECIPITATION, TEMPERATURE, Tables
+from gridtrend.bindings import CHAINS, COEFFICIENTS, ITERATIONS, PRECIPITATION, TEMPERATURE, Tables
 from gridtrend.catalogue.common import rounded
 from gridtrend.catalogue.ctes import with_curated
 from gridtrend.models import draws
+from gridtrend.operators.groups import attach
 from gridtrend.operators.keys import level_index
 from gridtrend.operators.reshape import melt_outside_range
 from gridtrend.session import cut
@@ -27,11 +28,13 @@ def query(name: str, sql: str | None = None):
 
 
 _MEANS = ", ".join(
-    f"avg(value) FILTER (WHERE event_type = '{c}') / 100.0 - 0.5 AS {c}" for c in COEFFICIENTS
+    f"avg(value) FILTER (WHERE event_id % 5 = {i}) / 100.0 - 0.5 AS {c}"
+    for i, c in enumerate(COEFFICIENTS)
 )
 WIDE = f"""wide AS (
-  SELECT user_id % 3 AS chain, event_id // 7 % {ITERATIONS} + 1 AS iter, {_MEANS}
-  FROM events GROUP BY ALL HAVING {" AND ".join(f"count(*) FILTER (WHERE event_type = '{c}' AND value IS NOT NULL) > 0" for c in COEFFICIENTS)}),
+  SELECT event_id // 5 % {CHAINS * ITERATIONS} % {CHAINS} AS chain,
+         event_id // 5 % {CHAINS * ITERATIONS} // {CHAINS} + 1 AS iter, {_MEANS}
+  FROM events GROUP BY ALL),
 draws AS (SELECT *, row_number() OVER (ORDER BY chain, iter) AS draw FROM wide)"""
 
 
@@ -123,6 +126,8 @@ def scale_reduction_running(t: Tables) -> DataFrame:
 
 # prediction ---------------------------------------------------------------
 ROW_KEYS = ["turf_id", "species", "year"]
+#: Draws in a block: several blocks at the bound sampler setting.
+BLOCK = 150
 PREDICTOR = (
     "d.click + d.error * temp_grid_sc + d.purchase * summer_temp_anomaly_sc"
     " + d.signup * prec_grid_sc + d.view * temp_grid_sc * prec_grid_sc"
@@ -137,16 +142,19 @@ predicted AS (
   SELECT turf_id, species, year, n, k, draw, chain, iter,
          1 / (1 + exp(-(click + error * temp_grid_sc + purchase * summer_temp_anomaly_sc
            + signup * prec_grid_sc + view * temp_grid_sc * prec_grid_sc
-           + view * (site_index % 7 - 3) / 10.0))) AS p
+           + view * (site_index % 7 - 3) / 10.0))) AS p,
+         click + error * temp_grid_sc + purchase * summer_temp_anomaly_sc + signup * prec_grid_sc
+           + view * temp_grid_sc * prec_grid_sc + view * (site_index % 7 - 3) / 10.0 AS eta
   FROM obs, draws)""",
 ]
 SIMULATED = """hashed AS (
   SELECT *, ('0x' || substr(md5(turf_id || '|' || species || '|' || year || '|1|' || draw), 1, 13))
     ::BIGINT / 4503599627370496.0::DOUBLE AS u FROM predicted),
+terms AS (
+  SELECT *, [factorial(n::INTEGER) / (factorial(b::INTEGER) * factorial((n - b)::INTEGER))
+      * p ** b * (1 - p) ** (n - b) FOR b IN range(0, n)] AS pmf FROM hashed),
 simulated AS (
-  SELECT *, len([a FOR a IN range(0, n) IF u >= list_sum(
-    [factorial(n::INTEGER) / (factorial(b::INTEGER) * factorial((n - b)::INTEGER))
-      * p ** b * (1 - p) ** (n - b) FOR b IN range(0, a + 1)])]) AS y FROM hashed)"""
+  SELECT * EXCLUDE (pmf), len([a FOR a IN range(1, n + 1) IF u >= list_sum(pmf[1:a])]) AS y FROM terms)"""
 
 
 def _predicted(t: Tables) -> DataFrame:
@@ -159,19 +167,25 @@ def _predicted(t: Tables) -> DataFrame:
         "prec_grid_sc",
         "summer_temp_anomaly_sc",
     )
+    # Complete cases: a row without a climate value has no prediction.
     rows = cut(rows.filter(F.col("summer_temp_anomaly_sc").isNotNull()))
-    sites = level_index(rows, "site_id", "site_index").drop("__rows")
-    rows = rows.join(sites, "site_id")
-    blocks = draws.draw_blocks(t.draws_wide(), COEFFICIENTS)
+    return _predict(t, rows)
+
+
+def _predict(t: Tables, rows: DataFrame) -> DataFrame:
+    """Predictions for written rows; the sites and their number come from the rows."""
+    sites = level_index(rows, "site_id", "site_index")
+    rows = attach(rows, sites, ["site_id"], "__rows").drop("__rows")
+    blocks = draws.draw_blocks(t.draws_wide(), COEFFICIENTS, BLOCK)
+    levels = max(1, sites.count())
     # site effects of every draw: one row per draw and site
-    per_draw = blocks.table.selectExpr("inline(draws)")
-    effects = per_draw.select(
+    effects = blocks.table.selectExpr("inline(draws)").select(
         "draw",
-        F.explode(F.sequence(F.lit(1), F.lit(25))).alias("site_index"),
+        F.explode(F.sequence(F.lit(1), F.lit(levels))).alias("site_index"),
         "view",
     ).withColumn("site_effect", F.expr("view * (site_index % 7 - 3) / 10D"))
-    packed = draws.effect_blocks(effects, "site_index", "site_effect")
-    return draws.predict_draws(rows, blocks, PREDICTOR, [(packed, "site_index", "site_effect")])
+    packed = draws.effect_blocks(effects, "site_index", "site_effect", BLOCK)
+    return draws.predict_draws(rows, blocks, PREDICTOR, [packed])
 
 
 def _simulated(t: Tables) -> DataFrame:
@@ -211,7 +225,7 @@ def predictive_counts(t: Tables) -> DataFrame:
     ),
 )
 def predictive_median(t: Tables) -> DataFrame:
-    return draws.predictive_median(_simulated(t)).select(*ROW_KEYS, "median")
+    return draws.predictive_median(_simulated(t), ROW_KEYS)
 
 
 BOUNDS = """bounds AS (
@@ -224,7 +238,7 @@ residuals AS (SELECT *, lo + u * (hi - lo) AS residual FROM bounds)"""
 
 
 def _residuals(t: Tables) -> DataFrame:
-    return draws.quantile_residuals(draws.residual_bounds(_simulated(t), "k"), ROW_KEYS, seed=2)
+    return draws.quantile_residuals(draws.residual_bounds(_simulated(t), ROW_KEYS, "k"), ROW_KEYS, seed=2)
 
 
 @query(
@@ -292,7 +306,7 @@ def residual_qq(t: Tables) -> DataFrame:
     ),
 )
 def overdispersion(t: Tables) -> DataFrame:
-    out = draws.overdispersion(_simulated(t), "k")
+    out = draws.overdispersion(_simulated(t), ROW_KEYS, "k")
     return rounded(rounded(out, 8, "observed", "simulated"), 6, "ratio")
 
 
@@ -300,13 +314,20 @@ def overdispersion(t: Tables) -> DataFrame:
     "draw_deviance",
     with_curated(
         """SELECT chain, iter, round(1.23e-7 - 2 * sum(lgamma(n + 1) - lgamma(k + 1)
-             - lgamma(n - k + 1) + k * ln(p) + (n - k) * ln(1 - p)), 4) AS deviance
+             - lgamma(n - k + 1) - k * (greatest(-eta, 0) + ln(1 + exp(-abs(eta))))
+             - (n - k) * (greatest(eta, 0) + ln(1 + exp(-abs(eta))))), 4) AS deviance
            FROM predicted GROUP BY chain, iter""",
         *PREDICTED,
     ),
 )
 def draw_deviance(t: Tables) -> DataFrame:
-    return rounded(draws.draw_deviance(_predicted(t), "k", "n"), 4, "deviance")
+    cells = [
+        "site_id", "temp_grid_sc", "prec_grid_sc", "summer_temp_anomaly_sc",
+        F.col("n_occurrence").alias("n"), F.col("sum_fertile").alias("k"),
+    ]
+    rows = t.curated().filter(F.col("summer_temp_anomaly_sc").isNotNull()).select(*cells)
+    equal = cut(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("m")))
+    return rounded(draws.draw_deviance(_predict(t, equal), "k", "n"), 4, "deviance")
 
 
 @query(

@@ -52,13 +52,13 @@ TREATMENT_GROUPS = {
 TREATMENT_ORDER = ["Control", "Warm", "Wet", "WarmWet"]
 CONTROL_TREATMENTS = ["TTC", "TT1"]
 
-# Flowering season codes that arrive damaged.
+# Season codes that arrive damaged.
 FINISH_REPAIRS = {"H<f8>st": "Host", "V<e5>r": "Var"}
 START_REPAIRS = {"V<e5>r": "Var"}
 
 # Traits dropped after the pivot, and traits renamed.
 DROPPED_TRAITS = ["Common-rear", "Habitat", "Soil type"]
-RENAMED_TRAITS = {"Flowering finish": "flowering_finish", "Flowering start": "flowering_start"}
+RENAMED_TRAITS = {"Season finish": "season_finish", "Season start": "season_start"}
 
 # Functional groups that stay in the curated table.
 KEPT_GROUPS = ["graminoid", "forb"]

@@ -125,12 +125,27 @@ class DrawBlocks:
 
     table: DataFrame
     params: tuple[str, ...]
+    size: int
     blocks: int
     fits_memory: bool
 
 
+@dataclass(frozen=True)
+class Effects:
+    """Per-draw effects of a grouping level as arrays per block and level.
+
+    Each value carries its draw's number, so a missing one is an error and never
+    shifts the others.
+    """
+
+    table: DataFrame
+    index: str
+    value: str
+    fits_memory: bool
+
+
+#: Values of a draw table up to which it is broadcast (8 bytes each).
 DRAW_VALUES_LIMIT = 8_000_000
-BLOCK_SLICES = 512
 
 
 def draw_blocks(
@@ -145,49 +160,64 @@ def draw_blocks(
     packed = numbered.groupBy(F.expr(f"int((draw - 1) div {size}) AS block")).agg(
         F.sort_array(F.collect_list(F.struct("draw", "chain", "iter", *params))).alias("draws")
     )
-    return DrawBlocks(packed, tuple(params), blocks, n * (len(params) + 3) <= limit)
+    return DrawBlocks(packed, tuple(params), size, blocks, n * (len(params) + 3) <= limit)
 
 
-def effect_blocks(effects: DataFrame, index: str, value: str, size: int = 1_024) -> DataFrame:
+def effect_blocks(
+    effects: DataFrame, index: str, value: str, size: int = 1_024, limit: int = DRAW_VALUES_LIMIT
+) -> Effects:
     """Per-draw effects of a grouping level, long (draw, index, value), as arrays per block."""
-    return effects.groupBy(F.expr(f"int((draw - 1) div {size}) AS block"), index).agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("draw", value))), lambda d: d.getField(value)
-        ).alias(f"__{value}")
+    effects = cut(effects.select("draw", index, value))
+    packed = effects.groupBy(F.expr(f"int((draw - 1) div {size}) AS block"), index).agg(
+        F.sort_array(F.collect_list(F.struct("draw", F.col(value).alias("v")))).alias(f"__{value}")
     )
+    return Effects(packed, index, value, 2 * effects.count() <= limit)
+
+
+def _meet(rows: DataFrame, table: DataFrame, keys: list[str], fits_memory: bool) -> DataFrame:
+    """Join rows to a table of arrays: broadcast if its counted values allow it, else by
+    shuffle, with the rows of a key spread over as many slices as there are shuffle
+    partitions."""
+    if fits_memory:
+        return rows.join(F.broadcast(table), keys)
+    slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in ("draws", "__slice")]), F.lit(slices))
+    every = F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
+    copies = table.select("*", every.alias("__slice"))
+    return rows.withColumn("__slice", part).join(copies, [*keys, "__slice"]).drop("__slice")
 
 
 def predict_draws(
-    rows: DataFrame,
-    draws: DrawBlocks,
-    predictor: str,
-    effects: Sequence[tuple[DataFrame, str, str]] = (),
+    rows: DataFrame, draws: DrawBlocks, predictor: str, effects: Sequence[Effects] = ()
 ) -> DataFrame:
-    """Probability of every draw for every row, as an array ``p`` per row and block.
-
-    ``predictor`` is SQL over the row's columns and the draw's ``d.<param>``.
-    ``effects`` are (``effect_blocks`` table, index column, value name). The
-    draws are broadcast when their counted size allows it; else rows and
-    blocks meet in a shuffle join whose keys are spread over slices.
+    """Linear predictor and probability of every draw for every row, as arrays ``eta``
+    and ``p`` per row and block.
+
+    ``predictor`` is SQL over the row's columns and the draw's ``d.<param>``. The
+    levels' effects meet the rows first, while those are narrow, and the draws last.
+    Every block of a row has its draws' numbers beside its values, so what follows
+    works on any number of blocks. Rows with a null in the predictor get null values;
+    a row whose level has no effect goes.
     """
     if draws.blocks == 1:
-        spread = rows.withColumn("block", F.lit(0))
-    else:
-        spread = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(draws.blocks - 1))))
-    if draws.fits_memory:
-        paired = spread.join(F.broadcast(draws.table), "block")
+        paired = rows.withColumn("block", F.lit(0))
     else:
-        part = F.pmod(F.xxhash64(*rows.columns, F.spark_partition_id()), F.lit(BLOCK_SLICES))
-        every = F.explode(F.sequence(F.lit(0), F.lit(BLOCK_SLICES - 1)))
-        copies = draws.table.select("*", every.alias("__slice"))
-        paired = spread.withColumn("__slice", part).join(copies, ["block", "__slice"])
-        paired = paired.drop("__slice")
+        paired = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(draws.blocks - 1))))
     linear = predictor
-    for table, index, value in effects:
-        paired = paired.join(table, ["block", index])
-        linear += f" + __{value}[i]"
-    p = F.expr(f"transform(draws, (d, i) -> 1 / (1 + exp(-({linear}))))")
-    return paired.withColumn("p", p).drop(*[f"__{value}" for _, _, value in effects])
+    for e in effects:
+        paired = _meet(paired, e.table, ["block", e.index], e.fits_memory)
+        own = f"__{e.value}[i]"
+        linear += (
+            f" + IF({own}.draw = d.draw, {own}.v,"
+            f" CAST(raise_error('{e.value}: a draw is missing') AS DOUBLE))"
+        )
+    paired = _meet(paired, draws.table, ["block"], draws.fits_memory)
+    eta = F.expr(f"transform(draws, (d, i) -> {linear})")
+    return (
+        paired.withColumn("eta", eta)
+        .withColumn("p", F.expr("transform(eta, e -> 1 / (1 + exp(-e)))"))
+        .drop(*[f"__{e.value}" for e in effects])
+    )
 
 
 def long_predictions(predicted: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -204,32 +234,44 @@ def predictive_counts(
 ) -> DataFrame:
     """Binomial counts by inverse CDF on a uniform hashed from (row keys, draw, seed).
 
-    Counts never come from the observations, and do not depend on how the rows
-    are partitioned or how often a task runs.
+    The count is the number of values a < n with CDF(a) <= u. Terms are summed in
+    logarithms, and a p above one half is turned round, so no n makes the first term
+    vanish for good. Counts never come from the observations, and do not depend on how
+    the rows are partitioned or how often a task runs. A p of 0 or 1 gives 0 or n.
     """
     row_part = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
-    uniforms = predicted.withColumn("__row", row_part).withColumn(
+    steps = F.expr(
+        f"IF({trials} < 1, array(), transform(sequence(1, int({trials})), j -> ln(({trials} - j + 1) / j)))"
+    )
+    uniforms = predicted.withColumns({"__row": row_part, "__steps": steps}).withColumn(
         "__u",
         F.transform("draws", lambda d: hashed_uniform(F.col("__row"), d.getField("draw"))),
     )
     count = (
-        "aggregate(sequence(1, int({n})),"
-        " named_struct('pmf', pow(1 - p, {n}), 'cdf', pow(1 - p, {n}), 'y', 0),"
-        " (s, j) -> IF(u < s.cdf OR p >= 1, s, named_struct("
-        "   'pmf', s.pmf * ({n} - j + 1) / j * p / (1 - p),"
-        "   'cdf', s.cdf + s.pmf * ({n} - j + 1) / j * p / (1 - p), 'y', j)),"
-        " s -> IF(p >= 1, int({n}), s.y))"
+        "aggregate(__steps,"
+        " named_struct('lp', {n} * log1p(-least(p, 1 - p)), 'cdf', exp({n} * log1p(-least(p, 1 - p))), 'y', 0),"
+        " (s, l) -> named_struct("
+        "   'lp', s.lp + l + ln(least(p, 1 - p) / greatest(p, 1 - p)),"
+        "   'cdf', s.cdf + exp(s.lp + l + ln(least(p, 1 - p) / greatest(p, 1 - p))),"
+        "   'y', s.y + IF(IF(p > 0.5D, s.cdf < 1 - u, u >= s.cdf), 1, 0)),"
+        " s -> IF(p > 0.5D, int({n}) - s.y, s.y))"
     ).format(n=trials)
+    exact = f"CASE WHEN p <= 0 THEN 0 WHEN p >= 1 THEN int({trials}) ELSE {count} END"
     return uniforms.withColumn(
-        name, F.expr(f"IF({trials} < 1, transform(p, x -> 0), zip_with(p, __u, (p, u) -> {count}))")
-    ).drop("__row", "__u")
+        name, F.expr(f"IF({trials} < 1, transform(p, x -> 0), zip_with(p, __u, (p, u) -> {exact}))")
+    ).drop("__row", "__u", "__steps")
 
 
-def gather_blocks(predicted: DataFrame, keys: Sequence[str], arrays: Sequence[str]) -> DataFrame:
+def gather_blocks(
+    predicted: DataFrame, keys: Sequence[str], arrays: Sequence[str], blocks: int | None = None
+) -> DataFrame:
     """All draws of a row in one array, when they lie in several blocks.
 
-    A group is one row's draws, bounded by the number of draws.
+    A group is one row's draws, bounded by the number of draws. With ``blocks`` known
+    to be 1 the rows are whole already and are not shuffled.
     """
+    if blocks == 1:
+        return predicted.select(*keys, *arrays)
     grouped = predicted.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("block", *arrays))).alias("__b")
     )
@@ -246,17 +288,31 @@ def array_median(name: str) -> Column:
     )
 
 
-def predictive_median(counts: DataFrame, name: str = "y_sim") -> DataFrame:
-    return counts.withColumn("median", array_median(name))
+def predictive_median(
+    counts: DataFrame, keys: Sequence[str], name: str = "y_sim", blocks: int | None = None
+) -> DataFrame:
+    """(keys, median) over all draws of a row, in however many blocks they lie."""
+    whole = gather_blocks(counts, keys, [name], blocks)
+    return whole.select(*keys, array_median(name).alias("median"))
 
 
-def residual_bounds(counts: DataFrame, observed: str, name: str = "y_sim") -> DataFrame:
-    """Share of simulations below, and at or below, the observation (Dunn & Smyth 1996)."""
+def residual_bounds(
+    counts: DataFrame, keys: Sequence[str], observed: str, name: str = "y_sim"
+) -> DataFrame:
+    """(keys, observed, lo, hi): share of simulations below, and at or below, the
+    observation (Dunn & Smyth 1996). Every block counts its own draws and the counts
+    are added by row."""
 
-    def share(test: str) -> Column:
-        return F.expr(f"size(filter({name}, v -> v {test} {observed})) / size({name})")
+    def count(test: str) -> Column:
+        return F.expr(f"size(filter({name}, v -> v {test} {observed}))")
 
-    return counts.withColumns({"lo": share("<"), "hi": share("<=")})
+    parts = counts.select(
+        *keys, observed, count("<").alias("__lo"), count("<=").alias("__hi"), F.size(name).alias("__n")
+    )
+    sums = parts.groupBy(*keys, observed).agg(*[F.sum(c).alias(c) for c in ("__lo", "__hi", "__n")])
+    return sums.select(
+        *keys, observed, (F.col("__lo") / F.col("__n")).alias("lo"), (F.col("__hi") / F.col("__n")).alias("hi")
+    )
 
 
 def quantile_residuals(
@@ -275,7 +331,7 @@ def residual_bins(residuals: DataFrame, bins: int = 20, name: str = "residual")
 
 def uniformity(residuals: DataFrame, keys: Sequence[str], name: str = "residual") -> DataFrame:
     """Largest gap between the residuals' distribution and the uniform one."""
-    ranked = row_id(residuals.select(name, *keys), [name, *keys], "__rank")
+    ranked = row_id(cut(residuals.select(name, *keys)), [name, *keys], "__rank")
     n = ranked.agg(F.count(F.lit(1)).alias("n")).scalar()
     gaps = ranked.withColumn("__n", n).select(
         "__n",
@@ -289,33 +345,45 @@ def uniformity(residuals: DataFrame, keys: Sequence[str], name: str = "residual"
 
 def qq_points(residuals: DataFrame, keys: Sequence[str], name: str = "residual") -> DataFrame:
     """Each residual beside its expected uniform quantile."""
-    ranked = row_id(residuals.select(name, *keys), [name, *keys], "__rank")
+    ranked = row_id(cut(residuals.select(name, *keys)), [name, *keys], "__rank")
     n = ranked.agg(F.count(F.lit(1)).alias("n")).scalar()
     return ranked.withColumn("__n", n).select(
         *keys, name, (F.col("__rank") / (F.col("__n") + 1)).alias("expected")
     )
 
 
-def overdispersion(counts: DataFrame, observed: str, name: str = "y_sim") -> DataFrame:
-    """Variance of observed residuals over the mean variance of simulated ones."""
-    centred = counts.withColumn(
+def overdispersion(
+    counts: DataFrame, keys: Sequence[str], observed: str, name: str = "y_sim", blocks: int | None = None
+) -> DataFrame:
+    """Variance of observed residuals over the mean variance of simulated ones.
+
+    Residuals are taken from the mean over all draws of a row. The observation goes
+    along as a draw without a number, so one pass gives both variances.
+    """
+    whole = gather_blocks(counts, [*keys, observed], ["draws", name], blocks).withColumn(
         "__mean", F.expr(f"aggregate({name}, 0D, (s, v) -> s + v) / size({name})")
     )
+    seen = F.array(F.struct(F.lit(None).cast("bigint").alias("draw"), F.col(observed).cast("double").alias("y")))
+    drawn = F.zip_with(
+        "draws", name, lambda d, y: F.struct(d["draw"].cast("bigint").alias("draw"), y.cast("double").alias("y"))
+    )
     per_draw = (
-        centred.select("__mean", F.posexplode(name).alias("draw", "y"))
+        whole.select("__mean", F.inline(F.concat(seen, drawn)))
         .groupBy("draw")
         .agg(F.var_samp(F.col("y") - F.col("__mean")).alias("v"))
     )
-    simulated = per_draw.agg(F.avg("v").alias("simulated"))
-    seen = centred.agg(F.var_samp(F.col(observed) - F.col("__mean")).alias("observed"))
-    return seen.withColumn("simulated", simulated.scalar()).withColumn(
-        "ratio", F.col("observed") / F.col("simulated")
+    both = per_draw.agg(
+        F.max(F.when(F.col("draw").isNull(), F.col("v"))).alias("observed"),
+        F.avg(F.when(F.col("draw").isNotNull(), F.col("v"))).alias("simulated"),
     )
+    return both.withColumn("ratio", F.col("observed") / F.nullif(F.col("simulated"), F.lit(0.0)))
 
 
 def draw_deviance(predicted: DataFrame, k: str, n: str) -> DataFrame:
     """-2 log-likelihood of every draw; rows are summed per draw on the map side.
 
+    The terms are on the scale of the linear predictor, ``-log(1 + exp(-+ eta))``, so a
+    probability that rounds to 0 or 1 keeps its likelihood; a term with count 0 is 0.
     Collapse equal rows first and give their number as ``m`` where there is one.
     """
     times = F.col("m") if "m" in predicted.columns else F.lit(1)
@@ -324,9 +392,13 @@ def draw_deviance(predicted: DataFrame, k: str, n: str) -> DataFrame:
         F.col(n).alias("n"),
         times.alias("m"),
         log_choose(n, k).alias("choose"),
-        F.explode(F.arrays_zip("draws", "p")).alias("z"),
+        F.explode(F.arrays_zip("draws", "eta")).alias("z"),
+    )
+    tail = "log1p(exp(-abs(z.eta)))"
+    ll = F.expr(
+        f"m * (choose - IF(k = 0, 0D, k * (greatest(-z.eta, 0D) + {tail}))"
+        f" - IF(n = k, 0D, (n - k) * (greatest(z.eta, 0D) + {tail})))"
     )
-    ll = F.expr("m * (choose + k * ln(z.p) + (n - k) * ln(1 - z.p))")
     return long.groupBy("z.draws.chain", "z.draws.iter").agg((-2 * F.sum(ll)).alias("deviance"))
 
 

@@ -77,7 +77,7 @@ def curate(
     min_rows: int = 3,
     groups: Sequence[str] = tuple(labels.KEPT_GROUPS),
 ) -> DataFrame:
-    """Year, group-size, functional-group and never-flowering filters, in this order.
+    """Year, group-size, functional-group and never-fertile filters, in this order.
 
     Each step sees only the survivors of the one before. The climate join adds
     columns but neither rows nor filters, so it comes last, on what is left.

@@ -66,7 +66,7 @@ def fertility_rollup(
             "sum_fertile",
             "n_occurrence",
             ratio("sum_fertile", "n_occurrence").alias("prop_fertile"),
-            F.when(F.col("treatment").isNull(), "RTC").otherwise("SeedClim").alias("experiment"),
+            F.when(F.col("treatment").isNull(), "removal").otherwise("gradient").alias("experiment"),
         )
     )
 
@@ -88,8 +88,8 @@ def trait_table(
     wide = pivot_found(character_traits, ["species"], "trait", "value")
     wide = wide.drop(*dropped).withColumnsRenamed(dict(renamed))
     repairs = {
-        "flowering_finish": labels.FINISH_REPAIRS,
-        "flowering_start": labels.START_REPAIRS,
+        "season_finish": labels.FINISH_REPAIRS,
+        "season_start": labels.START_REPAIRS,
     }
     fixed = {c: map_values(c, m) for c, m in repairs.items() if c in wide.columns}
     return wide.withColumns(fixed).join(taxon, "species", "left")
@@ -157,7 +157,7 @@ def survey_extract_columns(extract: DataFrame) -> DataFrame:
 
 
 def season_and_zone(flags: DataFrame) -> DataFrame:
-    """Elevation class and flowering-season class from 0/1 flags.
+    """Elevation class and season class from 0/1 flags.
 
     Each flag is cleaned on its own (``zero_flags``) before the rules apply.
     """

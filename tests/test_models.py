@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from gridtrend.session import cut
 from gridtrend.models import conjugate, draws, glm, grouped, mixed, tails, zero_inflated
 from gridtrend.operators.quantiles import exact_quantiles
 
@@ -172,25 +173,66 @@ def test_scale_reduction_and_thinning(spark):
 
 
 def test_residual_bounds_and_median(spark):
-    df = spark.createDataFrame([(2, [0, 5, 1, 2, 2])], "k int, y_sim array<int>")
-    r = draws.predictive_median(draws.residual_bounds(df, "k")).first()
-    assert (r["lo"], r["hi"], r["median"]) == (0.4, 0.8, 2.0)
+    df = spark.createDataFrame([(1, 2, 0, [0, 5]), (1, 2, 1, [1, 2, 2])], "id int, k int, block int, y_sim array<int>")
+    r = draws.residual_bounds(df, ["id"], "k").first()
+    assert (r["lo"], r["hi"]) == (0.4, 0.8)
+    assert draws.predictive_median(df, ["id"]).first()["median"] == 2.0
 
 
-def test_prediction_in_blocks_and_slices_is_the_same(spark):
-    wide = spark.range(40).selectExpr("id % 2 AS chain", "id AS iter", "id / 20.0D - 1 AS a")
-    rows = spark.range(30).selectExpr("id", "id / 30.0D AS x", "int(id % 9) + 1 AS n")
+def test_any_number_of_blocks_gives_the_same(spark):
+    """1 200 draws in one block, in blocks of 7 and of 1 024, broadcast or sliced."""
+    wide = spark.range(1200).selectExpr("id % 2 AS chain", "id AS iter", "id / 600.0D - 1 AS a")
+    rows = spark.range(12).selectExpr("id", "id / 30.0D AS x", "int(id % 9) + 1 AS n", "int(id % 4) AS k", "id % 3 + 1 AS site")
+    effects = spark.range(1, 1201).selectExpr("id AS draw", "explode(array(1L, 2L, 3L)) AS site", "id / 900D AS e")
     seen = []
-    for size, limit in ((1024, 10**6), (7, 10**6), (7, 0)):
+    for size, limit in ((2000, 10**6), (1024, 10**6), (7, 10**6), (1024, 0)):
         blocks = draws.draw_blocks(wide, ["a"], size, limit)
-        counts_ = draws.predictive_counts(
-            draws.predict_draws(rows, blocks, "d.a + x"), ["id"], "n", seed=3
+        packed = draws.effect_blocks(effects, "site", "e", size, limit)
+        counts_ = cut(
+            draws.predictive_counts(
+                draws.predict_draws(rows, blocks, "d.a + x", [packed]), ["id"], "n", seed=3
+            )
         )
-        long = draws.long_predictions(counts_, ["id"], ["p", "y_sim"])
-        seen.append(sorted(map(str, long.collect())))
-        whole = draws.gather_blocks(counts_, ["id", "n"], ["y_sim"])
-        assert whole.filter("size(y_sim) <> 40").count() == 0 and whole.count() == 30
-    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 1200
+        bounds = draws.residual_bounds(counts_, ["id"], "k")
+        residuals = draws.quantile_residuals(bounds, ["id"])
+        out = [
+            draws.long_predictions(counts_, ["id"], ["p", "y_sim"]),
+            draws.predictive_median(counts_, ["id"]),
+            bounds,
+            draws.residual_bins(residuals),
+            draws.uniformity(residuals, ["id"]),
+            draws.qq_points(residuals, ["id"]),
+            draws.overdispersion(counts_, ["id"], "k").selectExpr("round(ratio, 9)"),
+            draws.draw_deviance(counts_, "k", "n").selectExpr("chain", "iter", "round(deviance, 8)"),
+        ]
+        seen.append([sorted(map(str, x.collect())) for x in out])
+        assert counts_.count() == 12 * blocks.blocks
+    assert [len(x) for x in seen[0][:3]] == [14400, 12, 12] and len(seen[0][7]) == 1200
+    assert all(s == seen[0] for s in seen[1:])
+
+
+def test_a_missing_effect_of_a_draw_is_an_error(spark):
+    wide = spark.range(5).selectExpr("1 AS chain", "id AS iter", "0D AS a")
+    effects = spark.createDataFrame([(d, 1, 0.1) for d in (1, 2, 4, 5)], "draw long, site int, e double")
+    blocks = draws.draw_blocks(wide, ["a"])
+    packed = draws.effect_blocks(effects, "site", "e")
+    rows = spark.createDataFrame([(1, 1)], "id int, site int")
+    with pytest.raises(Exception, match="a draw is missing"):
+        draws.predict_draws(rows, blocks, "d.a", [packed]).collect()
+
+
+def test_counts_and_deviance_at_the_bounds(spark):
+    wide = spark.createDataFrame([(1, 1, -800.0), (1, 2, 0.8472978603872034), (1, 3, 800.0), (1, 4, 40.0)], "chain int, iter int, a double")
+    rows = spark.createDataFrame([(i, 2000, k) for i, k in enumerate((0, 700, 2000))], "id int, n int, k int")
+    predicted = draws.predict_draws(rows, draws.draw_blocks(wide, ["a"]), "d.a")
+    for r in draws.predictive_counts(predicted, ["id"], "n").collect():
+        assert r["y_sim"][0] == 0 and r["y_sim"][2:] == [2000, 2000]
+        assert abs(r["y_sim"][1] - 1400) < 120  # n p with p = 0.7
+    one = draws.predict_draws(rows.filter("k = 2000"), draws.draw_blocks(wide, ["a"]), "d.a")
+    got = {r["iter"]: r["deviance"] for r in draws.draw_deviance(one, "k", "n").collect()}
+    assert got[1] == pytest.approx(2 * 2000 * 800) and got[3] == 0
+    whole = {r["iter"]: r["deviance"] for r in draws.draw_deviance(predicted, "k", "n").collect()}
+    assert all(math.isfinite(v) for v in whole.values()) and whole[4] > 2 * 40 * 1300
 
 
 def test_simulated_counts_follow_the_binomial(spark):

@@ -30,10 +30,10 @@ def test_fertility_rollup(spark):
     assert set(out) == {"t1", "t4"}
     assert (out["t1"]["sum_fertile"], out["t1"]["n_occurrence"], out["t1"]["prop_fertile"]) == (3, 4, 0.75)
     assert out["t1"]["site_id"] == "s1" and out["t4"]["site_id"] is None
-    assert out["t4"]["prop_fertile"] is None and out["t1"]["experiment"] == "SeedClim"
+    assert out["t4"]["prop_fertile"] is None and out["t1"]["experiment"] == "gradient"
     everything = survey.fertility_rollup(community, *hierarchy(spark), treatments=None)
     assert everything.agg(F.sum("n_occurrence")).first()[0] == community.count()
-    assert everything.filter("experiment = 'RTC'").count() == 1
+    assert everything.filter("experiment = 'removal'").count() == 1
 
 
 def fertile(spark, rows):
@@ -83,11 +83,11 @@ def test_common_species(spark):
 
 def test_traits_drop_rename_repair(spark):
     traits = spark.createDataFrame(
-        [("sp", "Flowering start", "V<e5>r"), ("sp", "Flowering finish", "H<f8>st"),
+        [("sp", "Season start", "V<e5>r"), ("sp", "Season finish", "H<f8>st"),
          ("sp", "Habitat", "x"), ("sp", "Height", "3")], schemas.CHARACTER_TRAITS)
     taxon = spark.createDataFrame([("sp", "forb", "perennial")], schemas.TAXON)
     r = survey.trait_table(traits, taxon).first().asDict()
-    assert r == {"species": "sp", "Height": "3", "flowering_start": "Var", "flowering_finish": "Host",
+    assert r == {"species": "sp", "Height": "3", "season_start": "Var", "season_finish": "Host",
                  "functional_group": "forb", "life_span": "perennial"}
 
 
