@@ -22,9 +22,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import BinaryType, DoubleType, LongType
 
-from gridtrend.llm.common import keep
+from gridtrend.llm.common import keep, small
 from gridtrend.llm.graph import components
 
 SEED = 42
@@ -147,14 +147,144 @@ def near_classes(
     return seen.join(classes, "fp").select(F.col("id").alias(id_column), "fp", "component_id", "n_links")
 
 
+# Similar texts: classes by exact similarity
+
+#: References whose nearest shingle is taken, in bands of so many; words of a shingle;
+#: least similarity; bits within which similar texts' fingerprints lie.
+REFERENCES, BAND = 80, 4
+WORDS = 5
+SIMILARITY = 0.8
+WIDE_RADIUS = 20
+ROUNDS = 4
+SKETCH = "struct<set: long, fp: long, keys: array<long>>"
+
+
+def shingle_set(text: bytes, shingle: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles."""
+    w = text.lower().split()
+    grams = zip(*(w[k:] for k in range(shingle))) if len(w) >= shingle else [w] if w else []
+    hashed = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((hashed(g, SEED) for g in map(b" ".join, grams)), np.uint64))
+
+
+def sketch(text: bytes, shingle: int = WORDS) -> dict:
+    """Key of the shingle set, its fingerprint, and band keys. A reference's nearest
+    shingle is the one at the least Hamming distance; two sets have it in common as
+    often as their similarity says, since any of their shingles may be the nearest."""
+    h = shingle_set(text, shingle)
+    if not len(h):
+        return {"set": 0, "fp": 0, "keys": []}
+    bits = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 16):
+        octets = h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
+        bits += np.unpackbits(octets, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    nearest = np.empty(REFERENCES, np.uint64)
+    for i, r in enumerate(pivots(REFERENCES)):
+        away = h ^ np.uint64(r & ONES)
+        rank = (np.bitwise_count(away).astype(np.uint64) << np.uint64(57)) | (away >> np.uint64(7))
+        nearest[i] = h[rank.argmin()]
+    return {
+        "set": signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)),
+        "fp": int(np.packbits(2 * bits > len(h), bitorder="little").view(np.int64)[0]),
+        "keys": [signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)) for x in nearest.reshape(-1, BAND)],
+    }
+
+
+def sketched(text: Column, shingle: int = WORDS) -> Column:
+    @F.pandas_udf(SKETCH)
+    def run(texts: pd.Series) -> pd.DataFrame:
+        found = [sketch(t, shingle) for t in texts]
+        return pd.DataFrame({k: pd.Series([f[k] for f in found], dtype=object) for k in ("set", "fp", "keys")})
+
+    return run(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+@F.pandas_udf(DoubleType())
+def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = []
+    for x, y in zip(a, b):
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        out.append(common / max(1, len(x) + len(y) - common))
+    return pd.Series(out, dtype=float)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame:
+    """The pairs (a, b) of set keys whose shingle sets are similar. ``texts`` has (set,
+    text); only the texts that a pair names are cut into shingles again."""
+
+    @F.pandas_udf(BinaryType())
+    def whole(found: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, shingle).tobytes() for t in found], dtype=object)
+
+    named = keep(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct())
+    if small(named, 16):
+        named = F.broadcast(named)
+    sets = keep(texts.join(named, "set").select("set", whole(F.col("text").cast("binary")).alias("s")))
+    left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
+    both = pairs.join(left, "a").join(right, "b")
+    return keep(both.filter(_similarity("sa", "sb") >= least).select("a", "b"))
+
+
+def similar_classes(
+    docs: DataFrame, shingle: int = WORDS, least: float = SIMILARITY, radius: int = WIDE_RADIUS
+) -> DataFrame:
+    """(doc_id, component_id) of documents whose word-shingle sets have a similarity
+    (common over all) of ``least`` or more, directly or over others.
+
+    Texts that share a band key are compared with the one of the smallest id among
+    them, so a group of n gives n pairs; pairs that the pivot distance tables or the
+    fingerprints put outside the radius are discarded, the rest is compared exactly.
+    Where some were not similar to it, the others of the key are compared with the
+    next, for ROUNDS rounds. Texts with equal sets, or without words, are one class.
+    """
+    seen = keep(docs.select("doc_id", "text", sketched(F.col("text"), shingle).alias("s")).select(
+        "doc_id", F.col("s.set").alias("set"), F.col("s.fp").alias("fp"), F.col("s.keys").alias("keys")
+    ))
+    to_pivot = F.array(*[distance(F.col("fp"), F.lit(p)).cast("int") for p in pivots()])
+    sets = seen.groupBy("set").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    sets = keep(sets.withColumn("d", to_pivot))
+    me = F.struct("low", "set", "fp", "d")
+    rows = sets.select(F.posexplode("keys").alias("band", "key"), me.alias("me"))
+    first = sets.select("set", F.col("low").alias("doc_id"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(first, "doc_id")
+    links = None
+    for _ in range(ROUNDS):
+        centers = keep(
+            rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("me").alias("center")).filter("n > 1").drop("n")
+        )
+        others = rows.join(centers, ["band", "key"]).filter(F.col("me.set") != F.col("center.set"))
+        apart = [F.abs(F.col("me.d")[i] - F.col("center.d")[i]) for i in range(PIVOTS)]
+        near = (F.greatest(*apart) <= radius) & (distance(F.col("me.fp"), F.col("center.fp")) <= radius)
+        pairs = others.filter(near).select(F.col("center.set").alias("a"), F.col("me.set").alias("b")).distinct()
+        if links is not None:
+            pairs = pairs.join(links, ["a", "b"], "left_anti")
+        pairs = keep(pairs)
+        if pairs.isEmpty():
+            break
+        found = verified(pairs, texts, least, shingle)
+        links = found if links is None else keep(links.union(found))
+        ends = links.select(F.col("a").alias("__a"), F.col("b").alias("__b"))
+        linked = (F.col("center.set") == F.col("__a")) & (F.col("me.set") == F.col("__b"))
+        told = keep(others.join(ends, linked, "left").withColumn("failed", F.col("__a").isNull()))
+        open_ = told.filter("failed").select("band", "key").distinct()
+        rows = keep(told.select("band", "key", "me").join(open_, ["band", "key"]))
+    if links is None:
+        return seen.join(first.withColumnRenamed("doc_id", "component_id"), "set").select("doc_id", "component_id")
+    rooted = components(links).withColumnRenamed("node", "set")
+    joined = keep(first.withColumnRenamed("doc_id", "low").join(rooted, "set", "left").withColumn("root", F.coalesce("root", "set")))
+    lows = joined.groupBy("root").agg(F.min("low").alias("component_id"))
+    return seen.join(joined.join(lows, "root").select("set", "component_id"), "set").select("doc_id", "component_id")
+
+
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """One row of each near-duplicate class of documents stays: that of the
-    smallest doc_id, and of repeated rows with that id any one.
+    """One row of each class of similar documents stays: that of the smallest doc_id,
+    and of repeated rows with that id any one.
 
     Rows without a doc_id stay as they are (no other row can be named instead).
     """
     named = docs.filter(F.col("doc_id").isNotNull())
-    classes = near_classes(named, **options)
+    classes = similar_classes(named, **options)
     stay = classes.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     one = named.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -82,12 +82,66 @@ def test_links_of_clustered_fingerprints(spark):
         assert {tuple(x) for x in S.links(df, hot=hot).collect()} == want
 
 
+def similar(rows, least=0.8):
+    """{id: smallest id reachable} over all pairs of similar shingle sets."""
+    sets = [set(S.shingle_set((t or "").encode()).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            union = len(sets[i] | sets[j])
+            if not union or len(sets[i] & sets[j]) / union >= least:
+                root[find(i)] = find(j)
+    lows = {}
+    for i, (d, _) in enumerate(rows):
+        lows[find(i)] = min(lows.get(find(i), d), d)
+    return {d: lows[find(i)] for i, (d, _) in enumerate(rows)}
+
+
+def planted():
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8)))
+    passage = [word() for _ in range(30)]
+    rows = []
+    for g in range(40):
+        base = [word() for _ in range(r.randint(60, 300))]
+        rows.append((g, " ".join(base)))
+        for k in range(r.randint(0, 6)):
+            copy = list(base)
+            for _ in range(r.randint(0, len(copy) // 100 + 1)):
+                copy[r.randrange(len(copy))] = word()
+            rows.append((100 + 10 * g + k, " ".join(copy)))
+    rows += [(1000 + i, " ".join([word() for _ in range(60)] + passage)) for i in range(80)]  # no copies
+    base = [word() for _ in range(200)]
+    for i in range(60):  # a large group of near copies of one text
+        copy = list(base)
+        copy[r.randrange(200)] = word()
+        rows.append((2000 + i, " ".join(copy)))
+    return rows
+
+
+def test_similar_classes_find_planted_copies(spark):
+    rows = planted()
+    want = similar(rows)
+    got = {r["doc_id"]: r["component_id"] for r in S.similar_classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[d] == d for d in want if 1000 <= d < 2000)
+    assert {d for d in want if got[d] == d and want[d] != d} == set()
+    assert got == want
+
+
 def test_one_of_each_class_stays(spark, clash):
-    rows = corpus()
-    df = clash(spark.createDataFrame(rows, SCHEMA), "fp", "component_id")
+    rows = [*corpus(), *planted()]
+    rows = [(d, t) for d, t in rows if d is None or d < 1000 or d >= 2000]
+    df = clash(spark.createDataFrame(rows, SCHEMA), "fp", "component_id", "set", "low")
     kept = S.drop_near_copies(df)
     assert kept.columns == df.columns
-    want = {c for d, _, c in classes([x for x in rows if x[0] is not None])}
+    want = set(similar([x for x in rows if x[0] is not None]).values())
     ids = [x["doc_id"] for x in kept.collect()]
     assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 2
 
