@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridtrend.llm.common import keep, new_folder
-from gridtrend.llm.suffixes import HASH_BITS, PAD, hashed, pack, planes, runs, suffix_sort, unpack, unplanes, words8
+from gridtrend.llm.suffixes import PAD, hashed, pack, planes, runs, suffix_sort, unpack, unplanes, words8
 
 LENGTH = 50
 CHUNK_BYTES = 4 << 20
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 3 << 20
 CHUNKS_A_FILE = 4
 #: Runs of one anchor above which its strings are sent one by one.
 HOT = 256
@@ -129,8 +130,10 @@ def anchor_hashes(buckets: int, length: int):
         rows = []
         if len(texts):
             h, counts = np.unique(Chunk(texts, notes).runs(length)[3], return_counts=True)
-            bucket = (h >> np.uint64(HASH_BITS - 31)) * np.uint64(buckets) >> np.uint64(31)
-            edge = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+            bucket = mixed_bucket(h, buckets)  # anchors have small hashes, so not by range
+            order = np.argsort(bucket, kind="stable")
+            h, counts = h[order], counts[order]
+            edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(edge)).tolist():
                 s = slice(edge[b], edge[b + 1])
                 rows.append(
@@ -189,7 +192,7 @@ def shared_strings(buckets: int, length: int):
                     "doc": planes(chunk.doc[row[i]]),
                     "row": planes(row[i].astype(np.uint32)),
                     "place": planes((first[i] - chunk.starts[row[i]]).astype(np.uint64)),
-                    "text": pieces(chunk.text, first[i], n[i] + length - 1),
+                    "text": zlib.compress(pieces(chunk.text, first[i], n[i] + length - 1), 1),
                 }
             )
         i = np.flatnonzero(hot)
@@ -206,7 +209,7 @@ def shared_strings(buckets: int, length: int):
                     "hot": True,
                     "hash": planes(h[i]),
                     "doc": planes(chunk.doc[of[i]]),
-                    "text": pieces(chunk.text, place[i], np.full(len(i), length)),
+                    "text": zlib.compress(pieces(chunk.text, place[i], np.full(len(i), length)), 1),
                 }
             )
         return as_table(rows, SENT_TYPES)
@@ -223,7 +226,7 @@ def sorted_strings(length: int):
 
     def run(sent: pa.Table) -> pa.Table:
         parts = sent.to_pylist()
-        joined = np.frombuffer(b"".join([*(p["text"] for p in parts), bytes(PAD)]), np.uint8)
+        joined = np.frombuffer(b"".join([*(zlib.decompress(p["text"]) for p in parts), bytes(PAD)]), np.uint8)
         at, group, doc, part, item, window, base = [], [], [], [], [], [], 0
         for k, p in enumerate(parts):
             h, d = unplanes(p["hash"], np.uint64), unplanes(p["doc"], np.int64)

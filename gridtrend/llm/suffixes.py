@@ -8,7 +8,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes of an anchor's gram, and most windows that an anchor can own.
-GRAM = 16
+GRAM = 20
 MOST_WINDOWS = 63
 PLACE_BITS = 20
 HASH_BITS = 64 - PLACE_BITS
