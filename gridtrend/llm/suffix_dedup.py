@@ -315,10 +315,9 @@ def remaining(length: int):
             least = np.empty(len(known), np.int64)
             least[order] = np.repeat(doc[order[heads]], np.diff(np.append(heads, len(order))))
             starts.append(place[chunk.doc[of] > least[: len(h)]])
-        cover = np.zeros(len(chunk.text) + 1, np.int32)
-        for s in starts:
-            cover += np.bincount(s, minlength=len(cover)) - np.bincount(s + length, minlength=len(cover))
-        covered = np.cumsum(cover)[: int(chunk.ends[-1])] > 0
+        every = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        size = len(chunk.text) + 1
+        covered = np.cumsum(np.bincount(every, minlength=size) - np.bincount(every + length, minlength=size)) > 0
         rows = []
         for k, body in enumerate(chunk.body):
             if chunk.copy[k] and len(body) >= length:
