@@ -253,7 +253,7 @@ def coef_table(t: Tables) -> DataFrame:
             rows.filter(F.col("functional_group") == group),
             "prop_fertile", CLIMATE_TERMS, (), "n_occurrence",
         )
-        for group in KEPT_TYPES[:2]
+        for group in KEPT_TYPES
     }
     return glm.coefficient_table(
         t.spark, fits, "functional_group", TERM_LABELS, list(TERM_LABELS.values())
@@ -268,9 +268,15 @@ def species_glm(t: Tables) -> DataFrame:
     )
 
 
+#: Change at which the registered mixed fits stop; ``converged`` tells if they did.
 MIXED_TOL = 5e-3
 
 
+def _told(out: DataFrame, fit: mixed.MixedFit) -> DataFrame:
+    """A result of a fit with how the fit ended."""
+    return out.withColumns({"converged": F.lit(fit.converged), "iterations": F.lit(fit.iterations)})
+
+
 def _year_mixed(t: Tables) -> mixed.MixedFit:
     return mixed.fit_mixed(
         t.curated(), "sum_fertile", "n_occurrence", ["year"],
@@ -281,7 +287,7 @@ def _year_mixed(t: Tables) -> mixed.MixedFit:
 @query("mixed_intercepts")
 def mixed_intercepts(t: Tables) -> DataFrame:
     fit = _year_mixed(t)
-    return fit.effects["species"]
+    return _told(fit.effects["species"], fit)
 
 
 @query("grid_prediction")
@@ -292,7 +298,7 @@ def grid_prediction(t: Tables) -> DataFrame:
         [mixed.Random("species"), mixed.Random("block_id")], ["year"], tol=MIXED_TOL,
     )
     grid = level_grid(t.spark, {"year": distinct_levels(rows, "year")})
-    return glm.predict_grid(grid, fit)
+    return _told(glm.predict_grid(grid, fit), fit)
 
 
 @query("mixed_slopes")
@@ -301,7 +307,7 @@ def mixed_slopes(t: Tables) -> DataFrame:
         t.model_data(), "sum_fertile", "n_occurrence", ["summer_temp_anomaly_sc"],
         [mixed.Random("species"), mixed.Random("species", "summer_temp_anomaly_sc")], tol=MIXED_TOL,
     )
-    return glm.coefficient_table(t.spark, {"PQL": fit})
+    return _told(glm.coefficient_table(t.spark, {"PQL": fit}), fit)
 
 
 HIERARCHICAL_TERMS = [
@@ -317,7 +323,7 @@ def ridge_hierarchical(t: Tables) -> DataFrame:
         [mixed.Random(g) for g in ("species", "site_id", "year")], prior_precision=0.001,
         tol=MIXED_TOL,
     )
-    return glm.coefficient_table(t.spark, {"hierarchical": fit})
+    return _told(glm.coefficient_table(t.spark, {"hierarchical": fit}), fit)
 
 
 @query(
@@ -359,10 +365,11 @@ def zero_inflated_fit(t: Tables) -> DataFrame:
         t.model_data(), "sum_fertile", "n_occurrence", ["temp_grid_sc", "summer_temp_anomaly_sc"]
     )
     rows = [
-        (name, float(b), float(s), float(fit.inclusion), float(fit.log_likelihood))
+        (name, float(b), float(s), float(fit.inclusion), float(fit.log_likelihood), fit.converged, fit.iterations)
         for name, b, s in zip(fit.names, fit.beta, fit.std_errors)
     ]
     return t.spark.createDataFrame(
         rows,
-        "term string, estimate double, std_error double, inclusion double, log_lik double",
+        "term string, estimate double, std_error double, inclusion double, log_lik double,"
+        " converged boolean, iterations int",
     )

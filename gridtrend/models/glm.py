@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,6 +22,7 @@ from gridtrend.models.design import (
     treatment_design,
     variables,
 )
+from gridtrend.models.grouped import square, upper_sums
 from gridtrend.models.tails import chi_square_tail, f_tail
 from gridtrend.operators.reshape import stack
 
@@ -50,29 +51,6 @@ class Fit:
         return np.sqrt(np.diag(self.vcov))
 
 
-def gram(df: DataFrame, size: int) -> np.ndarray:
-    """Sum of weight * x x' over the rows of (x array, weight).
-
-    Each partition adds its own p x p matrix with numpy; Spark sums the p x p
-    entries, and only those reach the driver.
-    """
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((size, size))
-        for batch in batches:
-            if len(batch):
-                x = np.stack(batch["x"].to_numpy())
-                total += (x * batch["weight"].to_numpy()[:, None]).T @ x
-        i, j = np.indices((size, size))
-        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
-
-    parts = df.select("x", "weight").mapInPandas(partial, "i int, j int, v double")
-    out = np.zeros((size, size))
-    for row in parts.groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
-        out[row["i"], row["j"]] = row["v"]
-    return out
-
-
 def _coefficients(cells: DataFrame, design: Design) -> np.ndarray:
     if len(design.columns) == 1:
         row = cells.agg(F.expr("sum(wy) / sum(w) AS p")).first()
@@ -90,16 +68,28 @@ def _coefficients(cells: DataFrame, design: Design) -> np.ndarray:
 def fit_cells(cells: DataFrame, design: Design, quasi: bool = False) -> Fit:
     """Fit on a collapsed table; the same table serves nested models."""
     beta = _coefficients(cells, design)
-    at_fit = cells.withColumn("mu", expit(F.expr(design.linear(beta))))
+    size = len(design.columns)
+    xs = [f"x{i}" for i in range(size)]
+    # Logs of mu and 1 - mu on the scale of the predictor: neither vanishes when mu
+    # rounds to 0 or 1. The Pearson term of such a cell is 0 where it fits exactly.
+    at_fit = (
+        cells.selectExpr("*", *[f"{c} AS {x}" for c, x in zip(design.columns, xs)])
+        .withColumn("eta", F.expr(design.linear(beta)))
+        .withColumn("mu", expit("eta"))
+        .withColumn("lp", F.expr("-(greatest(-eta, 0D) + log1p(exp(-abs(eta))))"))
+        .withColumn("lq", F.expr("-(greatest(eta, 0D) + log1p(exp(-abs(eta))))"))
+    )
     totals = at_fit.agg(
-        F.expr("2 * sum(saturated - wy * ln(mu) - (w - wy) * ln(1 - mu)) AS deviance"),
-        F.expr("sum((wyy - 2 * mu * wy + mu * mu * w) / (mu * (1 - mu))) AS pearson"),
+        F.expr(
+            "2 * sum(saturated - IF(wy = 0, 0D, wy * lp) - IF(w = wy, 0D, (w - wy) * lq)) AS deviance"
+        ),
+        F.expr(
+            "sum(coalesce((wyy - 2 * mu * wy + mu * mu * w) / nullif(mu * (1 - mu), 0D), 0D)) AS pearson"
+        ),
         F.expr("sum(n_rows) AS n"),
+        F.expr(upper_sums(xs, "w * mu * (1 - mu)")).alias("information"),
     ).first()
-    size = len(design.columns)
-    information = gram(
-        at_fit.select(design.x().alias("x"), F.expr("w * mu * (1 - mu) AS weight")), size
-    )
+    information = square(np.array(totals["information"]), size)
     df_residual = int(totals["n"]) - size
     dispersion = totals["pearson"] / df_residual if quasi else 1.0
     vcov = np.linalg.pinv(information) * dispersion

@@ -24,10 +24,16 @@ def log_likelihood(
     kk, nn, pp = as_column(k), as_column(n), as_column(p)
     inc = F.lit(pi) if isinstance(pi, float) else as_column(pi)
     zero = F.ln(F.lit(1.0) - inc + inc * F.pow(F.lit(1.0) - pp, nn))
-    rest = F.ln(inc) + log_choose(nn, kk) + kk * F.ln(pp) + (nn - kk) * F.ln(F.lit(1.0) - pp)
+    rest = F.ln(inc) + log_choose(nn, kk) + times_log(kk, pp) + times_log(nn - kk, F.lit(1.0) - pp)
     return F.when(kk == 0, zero).otherwise(rest)
 
 
+def times_log(count: Column, p: Column) -> Column:
+    """count * ln(p), which is 0 for a count of 0 and minus infinity for p = 0 (where
+    Spark's ln is null and a sum would pass over it)."""
+    return F.when(count == 0, F.lit(0.0)).when(p <= 0, F.lit(float("-inf"))).otherwise(count * F.ln(p))
+
+
 @dataclass
 class ZeroInflatedFit:
     design: Design
@@ -49,7 +55,7 @@ def fit_zero_inflated(
     n: str,
     terms: Sequence[str],
     factors: Sequence[str] = (),
-    max_iter: int = 60,
+    max_iter: int = 500,
     tol: float = 1e-8,
 ) -> ZeroInflatedFit:
     """EM: each round is one aggregation over the distinct (covariates, k, n) rows."""
@@ -69,22 +75,28 @@ def fit_zero_inflated(
     p0 = data.agg(F.expr("(sum(m * k) + 0.5) / (sum(m * n) + 1) AS p")).first()["p"]
     beta, pi = np.zeros(size), 0.9
     beta[0] = math.log(p0 / (1 - p0))
-    previous, info, converged, iteration = -math.inf, np.eye(size), False, 0
-    for iteration in range(1, max_iter + 1):
+    previous, converged, iteration = -math.inf, False, 0
+    def at_estimate() -> DataFrame:
+        """Terms on the scale of the predictor: no log of a rounded 0 or 1."""
         eta = " + ".join(f"({float(b)!r}D) * {x}" for b, x in zip(beta, xs))
-        at = (
-            data.withColumn("p", F.expr(f"1 / (1 + exp(-({eta})))"))
-            .withColumn("none", F.expr(f"{pi!r}D * pow(1 - p, n)"))
-            .withColumn("tau", F.expr(f"IF(k = 0, none / (1 - {pi!r}D + none), 1D)"))
+        return (
+            data.withColumn("eta", F.expr(eta))
+            .withColumn("p", F.expr("1 / (1 + exp(-eta))"))
+            .withColumn("lp", F.expr("-(greatest(-eta, 0D) + log1p(exp(-abs(eta))))"))
+            .withColumn("lq", F.expr("-(greatest(eta, 0D) + log1p(exp(-abs(eta))))"))
+            .withColumn("none", F.expr(f"{pi!r}D * exp(n * lq)"))
+            .withColumn("any", F.expr(f"1 - {pi!r}D + none"))
+            .withColumn("tau", F.expr("IF(k = 0, none / any, 1D)"))
         )
+
+    for iteration in range(1, max_iter + 1):
         scores = ", ".join(f"sum(m * tau * (k - n * p) * {x})" for x in xs)
-        row = at.agg(
+        row = at_estimate().agg(
             F.expr(upper_sums(xs, "m * tau * n * p * (1 - p)")).alias("info"),
             F.expr(f"array({scores})").alias("score"),
             F.expr("sum(m * tau) / sum(m)").alias("pi"),
             F.expr(
-                f"sum(m * IF(k = 0, ln(1 - {pi!r}D + none),"
-                f" ln({pi!r}D) + choose + k * ln(p) + (n - k) * ln(1 - p)))"
+                f"sum(m * IF(k = 0, ln(any), ln({pi!r}D) + choose + k * lp + (n - k) * lq))"
             ).alias("ll"),
         ).first()
         info = square(np.array(row["info"]), size)
@@ -95,5 +107,24 @@ def fit_zero_inflated(
             break
         beta = beta + np.linalg.solve(info, np.array(row["score"]))
         pi = min(max(row["pi"], 1e-9), 1 - 1e-9)
-    errors = np.sqrt(np.diag(np.linalg.inv(info)))
+    errors = observed_errors(at_estimate(), xs, pi)
     return ZeroInflatedFit(design, beta, errors, pi, previous, iteration, converged)
+
+
+def observed_errors(at: DataFrame, xs: list[str], pi: float) -> np.ndarray:
+    """Standard errors of the coefficients from the observed information of
+    coefficients and inclusion together: minus the second derivatives of the
+    log-likelihood itself, in which a zero does not tell where it comes from."""
+    curve = "IF(k = 0, n * p * (1 - p) * tau - n * n * p * p * tau * (1 - tau), n * p * (1 - p))"
+    mixed = ", ".join(f"sum(IF(k = 0, m * {x} * n * p * exp(n * lq) / (any * any), 0D))" for x in xs)
+    row = at.agg(
+        F.expr(upper_sums(xs, f"m * ({curve})")).alias("bb"),
+        F.expr(f"array({mixed})").alias("bp"),
+        F.expr(f"sum(m * IF(k = 0, pow((exp(n * lq) - 1) / any, 2), {1.0 / pi**2!r}D))").alias("pp"),
+    ).first()
+    size = len(xs)
+    whole = np.zeros((size + 1, size + 1))
+    whole[:size, :size] = square(np.array(row["bb"]), size)
+    whole[:size, size] = whole[size, :size] = row["bp"]
+    whole[size, size] = row["pp"]
+    return np.sqrt(np.maximum(np.diag(np.linalg.pinv(whole, hermitian=True))[:size], 0.0))

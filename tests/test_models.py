@@ -124,6 +124,40 @@ def test_zero_inflated_recovers(spark):
     assert np.allclose(fit.beta, [-0.5, 0.6], atol=0.06)
 
 
+def test_zero_inflated_errors_are_the_observed_information(spark):
+    df = counts(spark, zero_inflation=0.3)[0].withColumn("n", F.lit(3)).withColumn("k", F.least("k", F.lit(3)))
+    fit = zero_inflated.fit_zero_inflated(df, "k", "n", ["x"], tol=1e-13)
+    pdf = df.select("x", "k", "n").toPandas()
+
+    def ll(v):
+        p, pi = 1 / (1 + np.exp(-(v[0] + v[1] * pdf["x"]))), v[2]
+        full = np.log(pi) + pdf["k"] * np.log(p) + (pdf["n"] - pdf["k"]) * np.log(1 - p)
+        return np.where(pdf["k"] == 0, np.log(1 - pi + pi * (1 - p) ** pdf["n"]), full).sum()
+
+    at, h = np.array([*fit.beta, fit.inclusion]), 1e-4
+    hess = np.zeros((3, 3))
+    for i in range(3):
+        for j in range(3):
+            e, f = np.eye(3)[i] * h, np.eye(3)[j] * h
+            hess[i, j] = (ll(at + e + f) - ll(at + e - f) - ll(at - e + f) + ll(at - e - f)) / (4 * h * h)
+    assert np.allclose(fit.std_errors, np.sqrt(np.diag(np.linalg.inv(-hess)))[:2], rtol=1e-3)
+    assert fit.converged
+
+
+def test_likelihoods_at_probability_zero_and_one(spark):
+    df = spark.createDataFrame([(5, 5, 1.0), (0, 5, 0.0), (2, 5, 0.0), (2, 5, 1.0)], "k int, n int, p double")
+    got = [r["ll"] for r in df.withColumn("ll", zero_inflated.log_likelihood("k", "n", "p", 1.0)).collect()]
+    assert got == [0.0, 0.0, -math.inf, -math.inf]
+
+
+def test_a_separated_level_has_a_finite_deviance(spark):
+    rows = [("a", i % 2) for i in range(20)] + [("b", 1)] * 20
+    df = spark.createDataFrame(rows, "g string, y int").withColumn("p", F.col("y").cast("double"))
+    fit = glm.fit_binomial(df, "p", ["g"], ["g"], quasi=True)
+    assert fit.deviance == pytest.approx(40 * math.log(2), abs=1e-6)
+    assert math.isfinite(fit.dispersion)
+
+
 def test_zero_inflated_likelihood_cases(spark):
     df = spark.createDataFrame([(0, 5), (2, 5)], "k int, n int")
     ll = zero_inflated.log_likelihood("k", "n", F.lit(0.3), 0.8)
