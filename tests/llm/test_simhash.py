@@ -135,6 +135,40 @@ def test_similar_classes_find_planted_copies(spark):
     assert got == want
 
 
+def hub():
+    """A text with a middle id, 300 copies of it at 0.85 that are under 0.8 to each
+    other, and other texts that share a long passage."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 8)))
+    base = [word() for _ in range(400)]
+    rows = [(150, " ".join(base))]
+    for i in range(300):
+        copy = list(base)
+        for at in r.sample(range(2, 398, 6), 6):
+            copy[at] = word()
+        rows.append((i if i < 150 else i + 1, " ".join(copy)))
+    passage = [word() for _ in range(150)]
+    rows += [(1000 + i, " ".join([word() for _ in range(60)] + passage)) for i in range(200)]
+    return rows
+
+
+def test_hub_with_a_middle_id(spark):
+    rows = hub()
+    want = similar(rows)
+    assert {want[i] for i in range(301)} == {0} and len(set(want.values())) == 201
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r["doc_id"]: r["component_id"] for r in S.similar_classes(df).collect()} == want
+
+
+def test_exact_without_bands(spark, monkeypatch):
+    """All pairs are found even where no band links any, and whatever is common."""
+    monkeypatch.setattr(S, "ROUNDS", 0)
+    monkeypatch.setattr(S, "OFTEN", 2)
+    rows = planted()
+    got = {r["doc_id"]: r["component_id"] for r in S.similar_classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == similar(rows)
+
+
 def test_one_of_each_class_stays(spark, clash):
     rows = [*corpus(), *planted()]
     rows = [(d, t) for d, t in rows if d is None or d < 1000 or d >= 2000]
