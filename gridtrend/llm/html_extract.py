@@ -3,7 +3,8 @@
 Each page's containers are scored by the text they hold outside links and boilerplate,
 and the page votes for one of them by its generalised path of tags and classes. Votes
 are counted by host in Spark. A page is then extracted again from the container with
-its host's winning path; its own choice counts only where no winner is on the page.
+its host's winning path, if that leaves out only little of its own choice or what the
+host's pages leave beside their text; else its own choice counts.
 """
 
 from __future__ import annotations
@@ -38,10 +39,10 @@ CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
 }
 NOT_TEXT = {
-    "nav", "footer", "aside", "form", "noscript", "template", "iframe", "button", "select", "svg", "menu", "dialog",
+    "nav", "footer", "aside", "noscript", "template", "iframe", "button", "select", "svg", "menu", "dialog",
     "object", "head", "canvas", "audio", "video", "map",
 }
-ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"}
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu"}
 #: Words of a class or id that mark boilerplate, and beginnings of such words.
 MARKS = {
     "ad", "ads", "nav", "menu", "footer", "header", "masthead", "sidebar", "aside", "widget", "banner", "notice", "notices",
@@ -51,7 +52,13 @@ MARKS = {
 }
 STARTS = ("advert", "sponsor", "navig", "navbar", "breadcrumb", "cookie", "consent", "comment", "newsletter", "subscri",
           "promot", "disqus", "gdpr", "sidebar", "outbrain", "taboola")
+#: Marks of parts that often hold more text than the article.
+TALK = ("comment", "repl", "respond", "disqus", "cookie", "consent", "gdpr")
+#: Elements whose text stands for itself.
+LINES = {"h1", "h2", "h3", "h4", "h5", "h6", "p"}
 SHARE = 0.8
+MOST = 0.5
+NEVER = 2.0
 WINNER = 0.2
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -69,19 +76,26 @@ def attributes(text: str) -> dict[str, str]:
     return {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(text)} if text else {}
 
 
-def boilerplate(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+def boilerplate(tag: str, attrs: dict[str, str], in_article: bool) -> float:
+    """Share of the page's unlinked text that the element must hold to stay: 0 if it is
+    no boilerplate. A form or a marked element that holds most of it is a wrapper."""
     if tag in NOT_TEXT or (tag == "header" and not in_article):
-        return True
+        return NEVER
+    least = MOST if tag == "form" else 0.0
     if not attrs:
-        return False
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES:
-        return True
+        return least
+    role = attrs.get("role", "").lower()
+    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or role in ROLES:
+        return NEVER
     if tag in ("body", "html", "main", "article"):
-        return False
+        return MOST if role == "form" else 0.0
     marks = [w.lower() for w in WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")]
     if in_article and tag in ("header", "h1", "h2", "div"):
         marks = [w for w in marks if w != "header"]
-    return any(w in MARKS or w.startswith(STARTS) for w in marks)
+    marks = [w for w in marks if w in MARKS or w.startswith(STARTS)]
+    if any(w.startswith(TALK) for w in marks):
+        return SHARE
+    return MOST if marks or role == "form" else least
 
 
 def label(tag: str, attrs: dict[str, str]) -> str:
@@ -94,13 +108,31 @@ class Page:
     """Blocks of text of a page, each with the container it lies in."""
 
     def __init__(self, source: str):
+        self.spared: set[int] = set()
+        self.read(source)
+        self.spared = self.wrappers()
+        if self.spared:
+            self.read(source)
+        for node, text, links in self.scored:
+            value = max(0.0, len(text) - 2.0 * links)
+            while node is not None:
+                node.score += value
+                node = node.up
+
+    def read(self, source: str) -> None:
         self.root = Node(None, "", "", 0)
         self.nodes = [self.root]
         self.blocks: list[tuple[Node, str]] = []
-        self.stack: list[tuple[str, Node, bool, bool, bool]] = []  # name, container, boilerplate, article, link
+        # name, container, boilerplate, article, link, innermost marked element, never text
+        self.stack: list[tuple[str, Node, bool, bool, bool, int, bool]] = []
         self.scored: list[tuple[Node, str, int]] = []
+        self.lines: list[bool] = []
         self.parts: list[str] = []
         self.linked = 0
+        #: Of each marked element, and first of the page: share to stay, the marked
+        #: element around it, unlinked text that is in no marked element in it, and
+        #: that of article elements.
+        self.marked: list[list] = [[NEVER, 0, 0, 0]]
         at = 0
         while True:
             m = TAG.search(source, at)
@@ -119,19 +151,29 @@ class Page:
             else:
                 self.open(name, rest)
         self.flush()
-        for node, text, links in self.scored:
-            value = max(0.0, len(text) - 2.0 * links)
-            while node is not None:
-                node.score += value
-                node = node.up
 
-    def here(self) -> tuple[str, Node, bool, bool, bool]:
-        return self.stack[-1] if self.stack else ("", self.root, False, False, False)
+    def wrappers(self) -> set[int]:
+        """Marked elements that hold so much of the unlinked text that they wrap the
+        page. None is if text of an article stands outside in what surrounds it."""
+        held = [m[2] for m in self.marked]
+        for k in range(len(held) - 1, 0, -1):
+            held[self.marked[k][1]] += held[k]
+        article = [0] * len(held)
+        for k in range(1, len(held)):
+            outer = self.marked[k][1]
+            article[k] = article[outer] + self.marked[outer][3]
+        return {k for k in range(1, len(held)) if held[k] and held[k] >= self.marked[k][0] * held[0] and not article[k]}
+
+    def here(self) -> tuple[str, Node, bool, bool, bool, int, bool]:
+        return self.stack[-1] if self.stack else ("", self.root, False, False, False, 0, False)
 
     def text(self, s: str) -> None:
         if not s:
             return
-        _, _, gone, _, link = self.here()
+        _, _, gone, article, link, inner, never = self.here()
+        if not never and not link:
+            self.marked[inner][2] += len(s.strip())
+            self.marked[inner][3] += len(s.strip()) * article
         if not gone:
             self.parts.append(s)
             if link:
@@ -144,6 +186,8 @@ class Page:
                 node = self.here()[1]
                 self.blocks.append((node, text))
                 self.scored.append((node, text, min(self.linked, len(text))))
+                block = next((x[0] for x in reversed(self.stack) if x[0] in BLOCKS), "")
+                self.lines.append(block in LINES and 2 * self.linked <= len(text))
         self.parts, self.linked = [], 0
 
     def drop_to(self, k: int) -> None:
@@ -165,13 +209,19 @@ class Page:
         if name in VOID:
             return
         attrs = attributes(rest)
-        _, node, gone, article, link = self.here()
-        gone = gone or boilerplate(name, attrs, article)
+        _, node, gone, article, link, inner, never = self.here()
+        least = 0.0 if never else boilerplate(name, attrs, article)
+        never = never or least == NEVER
+        gone = gone or never
+        if least and not never:
+            self.marked.append([least, inner, 0, 0])
+            inner = len(self.marked) - 1
+            gone = gone or inner not in self.spared
         if name in CONTAINERS and not gone:
             step = label(name, attrs)
             node = Node(node, f"{node.path}>{step}" if node.path else step, name, len(self.nodes))
             self.nodes.append(node)
-        self.stack.append((name, node, gone, article or name in ("article", "main"), link or name == "a"))
+        self.stack.append((name, node, gone, article or name in ("article", "main"), link or name == "a", inner, never))
 
     def close(self, name: str) -> None:
         if name in BLOCKS:
@@ -194,22 +244,64 @@ class Page:
             node = best
         return node
 
+    def beside(self, own: Node) -> set[str]:
+        """Paths of the containers with text that stand next to one and its ancestors."""
+        out, node = set(), own
+        while node.up is not None:
+            out.update(c.path for c in node.up.children if c.score and c.path != node.path)
+            node = node.up
+        return out
+
     def within(self, path: str) -> str:
-        """Blocks of all containers with a path and text of their own, in page order."""
+        """Blocks of all containers with a path and text of their own, in page order, and
+        the headings and paragraphs that stand directly in what is around them, up to
+        the article or main part."""
+        chosen = {n.order for n in self.nodes if n.path == path and (n.score or not path)}
+        above = set()
+        for k in chosen:
+            around, node = set(), self.nodes[k].up
+            while node is not None and node.order not in above:
+                around.add(node.order)
+                if node.tag in ("article", "main"):
+                    break
+                node = node.up
+            if self.nodes[k].tag not in ("article", "main") or (node is not None and node.tag in ("article", "main")):
+                above |= around
         out = []
-        for node, text in self.blocks:
+        for (node, text), line in zip(self.blocks, self.lines):
+            if line and node.order in above:
+                out.append(text)
+                continue
             while node is not None:
-                if node.path == path and (node.score or not path):
+                if node.order in chosen:
                     out.append(text)
                     break
                 node = node.up
         return "\n".join(out)
 
-    def extract(self, winners: list[str]) -> str:
+    def scores(self, own: Node, path: str, beside: set[str]) -> tuple[float, float]:
+        """Score on a path in the page, and that of a container that lies on the path or
+        on paths beside it."""
+        found = covered = 0.0
+        walk = [(self.root, False, False)]
+        while walk:
+            node, inside, counted = walk.pop()
+            inside = inside or node is own
+            if node.path == path:
+                found += node.score
+            if not counted and (node.path == path or node.path in beside):
+                counted = True
+                covered += node.score * inside
+            walk += [(c, inside, counted) for c in node.children]
+        return found, covered
+
+    def extract(self, winners: list[str], beside: list[str] = ()) -> str:
+        """The text on the first host path that holds nearly all of the page's own
+        container, or with it what the host's pages leave beside their text."""
         own = self.vote()
         for path in winners:
-            found = sum(n.score for n in self.nodes if n.path == path)
-            if found and found >= WINNER * own.score:
+            found, covered = self.scores(own, path, set(beside))
+            if found and (found >= SHARE * own.score or (found >= WINNER * own.score and covered >= SHARE * own.score)):
                 return self.within(path)
         return self.within(own.path)
 
@@ -221,17 +313,31 @@ def host(url: Column) -> Column:
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """(host, path, pages): how many pages of a host chose a path."""
+    """(host, path, pages, beside): how many pages of a host chose a path, and how many
+    left it beside the one they chose."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pages = zip(*(c.to_pylist() for c in batch.columns))
-            found = [(h, n.path) for h, n in ((h, Page(x).vote()) for h, x in pages) if n.score > 0]
-            columns = [pa.array([f[k] for f in found], pa.string()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(columns, ["host", "path"])
+            found = []
+            for h, x in zip(*(c.to_pylist() for c in batch.columns)):
+                page = Page(x)
+                own = page.vote()
+                if own.score > 0:
+                    found.append((h, own.path, 1))
+                    found += [(h, path, 0) for path in page.beside(own)]
+            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.string(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "path", "own"])
 
     rows = pages.filter("host is not null and html is not null").select("host", "html")
-    return rows.mapInArrow(run, "host string, path string").groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"))
+    counted = rows.mapInArrow(run, "host string, path string, own int").groupBy("host", "path")
+    return counted.agg(F.sum("own").alias("pages"), F.sum(1 - F.col("own")).alias("beside"))
+
+
+def with_tops(counted: DataFrame) -> DataFrame:
+    """``counted`` with ``all`` votes of the host and its ``first`` path."""
+    first = F.min(F.struct((-F.col("pages")).alias("n"), "path"))["path"]
+    top = keep(counted.filter("pages > 0").groupBy("host").agg(F.sum("pages").alias("all"), first.alias("first")))
+    return counted.join(F.broadcast(top) if small(top, 512) else top, "host")
 
 
 def winning_paths(counted: DataFrame) -> DataFrame:
@@ -245,9 +351,17 @@ def winning_paths(counted: DataFrame) -> DataFrame:
     return kept.groupBy("host").agg(F.slice(paths, 1, 6).alias("winners"))
 
 
+def beside_paths(counted: DataFrame) -> DataFrame:
+    """(host, beside): paths that at least half of a host's pages leave beside their
+    text and none chooses; no more than twice as many as a page has."""
+    kept = with_tops(counted).filter((F.col("all") > 1) & (F.col("pages") == 0) & (F.col("beside") >= MOST * F.col("all")))
+    return kept.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("beside"))
+
+
 @F.pandas_udf(StringType())
-def text_of(sources: pd.Series, winners: pd.Series) -> pd.Series:
-    return pd.Series([Page(s).extract(list(w) if w is not None else []) for s, w in zip(sources, winners)], dtype=object)
+def text_of(sources: pd.Series, winners: pd.Series, beside: pd.Series) -> pd.Series:
+    paths = lambda w: list(w) if w is not None else []
+    return pd.Series([Page(s).extract(paths(w), paths(b)) for s, w, b in zip(sources, winners, beside)], dtype=object)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -260,10 +374,11 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     own = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
     rows = pages.withColumn("__host", host(F.col("url")))
-    won = keep(winning_paths(votes(rows.select(F.col("__host").alias("host"), "html"))))
-    won = won.select(F.col("host").alias("__host"), F.col("winners").alias("__winners"))
+    counted = keep(votes(rows.select(F.col("__host").alias("host"), "html")))
+    won = keep(winning_paths(counted).join(beside_paths(counted), "host", "left"))
+    won = won.select(F.col("host").alias("__host"), F.col("winners").alias("__winners"), F.col("beside").alias("__beside"))
     if small(won, 512):
         won = F.broadcast(won)
     body = F.coalesce(F.col("html"), F.lit(""))
-    out = rows.join(won, "__host", "left").select(*own, text_of(body, F.col("__winners")).alias("text"))
+    out = rows.join(won, "__host", "left").select(*own, text_of(body, F.col("__winners"), F.col("__beside")).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -24,6 +24,35 @@ def test_templates():
         assert X.Page(NOISE % body).extract([]) == TEXT
 
 
+def test_wrappers_keep_their_text():
+    for body in (
+        f"<div id=wrapper class='has-sidebar'><div>{MAIN}</div><div class='sidebar'>Side</div></div>",
+        f"<form id=aspnetForm><div>{MAIN}</div><div class=comments>One comment</div></form>",
+        f"<form><div class='search-page'><div class=x>{MAIN}</div></div></form>",
+    ):
+        page = f"<html><body><nav>Menu</nav>{body}<footer>End</footer></body></html>"
+        assert X.Page(page).extract([]) == TEXT
+    talk = f"<body><div>{MAIN}</div><div class=comments><p>{'a comment ' * 30}</p></div></body>"
+    assert X.Page(talk).extract([]) == TEXT
+    talk = f"<body><article>{MAIN}</article><div class=comments><p>{'a comment ' * 300}</p></div></body>"
+    assert X.Page(talk).extract([]) == TEXT
+
+
+def test_heading_and_lead_above_the_content():
+    page = f"<body><div><h1>Head</h1><p>The lead.</p><p><a href=/>Linked only</a></p><div class=content>{MAIN * 3}</div></div></body>"
+    got = X.Page(page).extract([])
+    assert got.startswith("Head\nThe lead.\nTitle") and "Linked" not in got
+
+
+def test_host_path_that_holds_a_part_only(spark):
+    """The winner of the host holds a third of a longer page's article."""
+    story, more = "<p>" + "story " * 40 + "</p>", "<p>" + "more " * 40 + "</p>"
+    rows = [(i, f"http://a.example/{i}", f"<body><div class=story>{story}</div></body>") for i in range(5)]
+    rows += [(9, "http://a.example/9", f"<body><div class=story>{story}</div><div class=next>{more}</div><div class=last>{more}</div></body>")]
+    got = {r["page_id"]: r["text"] for r in X.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[9].count("story") == 40 and got[9].count("more") == 80
+
+
 def test_odd_markup():
     assert X.Page("").extract([]) == ""
     assert X.Page("plain &lt;text&gt;  only").extract([]) == "plain <text> only"
