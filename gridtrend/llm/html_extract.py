@@ -342,13 +342,10 @@ def with_tops(counted: DataFrame) -> DataFrame:
 
 def winning_paths(counted: DataFrame) -> DataFrame:
     """(host, winners): paths with at least a fifth of a host's votes, and the first
-    of all, most votes first; at most six."""
-    top = counted.groupBy("host").agg(F.sum("pages").alias("all"), F.max("pages").alias("most"))
-    enough = (F.col("pages") >= WINNER * F.col("all")) | (F.col("pages") == F.col("most"))
+    of all, most votes first; so no host has more than six."""
+    kept = with_tops(counted).filter((F.col("pages") >= WINNER * F.col("all")) | (F.col("path") == F.col("first")))
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("pages")).alias("n"), "path")))
-    kept = counted.join(top, "host").filter(enough)
-    paths = F.transform(ranked, lambda x: x["path"])
-    return kept.groupBy("host").agg(F.slice(paths, 1, 6).alias("winners"))
+    return kept.groupBy("host").agg(F.transform(ranked, lambda x: x["path"]).alias("winners"))
 
 
 def beside_paths(counted: DataFrame) -> DataFrame:

@@ -53,6 +53,13 @@ def test_host_path_that_holds_a_part_only(spark):
     assert got[9].count("story") == 40 and got[9].count("more") == 80
 
 
+def test_no_more_than_six_paths_meet(spark):
+    rows = [("h", f"body>div.{i:03d}", 1) for i in range(300)] + [("g", f"p{i}", 10) for i in range(5)] + [("g", "q", 1)]
+    counted = spark.createDataFrame(rows, "host string, path string, pages long")
+    got = {r["host"]: r["winners"] for r in X.winning_paths(counted).collect()}
+    assert got == {"h": ["body>div.000"], "g": ["p0"]}
+
+
 def test_odd_markup():
     assert X.Page("").extract([]) == ""
     assert X.Page("plain &lt;text&gt;  only").extract([]) == "plain <text> only"
