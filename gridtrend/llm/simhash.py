@@ -15,17 +15,16 @@ which a key leaves 16 bits open, so no group can have over 65 536 members.
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DoubleType, LongType
+from pyspark.sql.types import LongType
 
-from gridtrend.llm.common import keep, small
+from gridtrend.llm.common import keep
 from gridtrend.llm.graph import components
 
 SEED = 42
@@ -117,6 +116,26 @@ def links(prints: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     return keep(meet(cold, radius).union(meet(fine, radius)).distinct())
 
 
+def linked_prints(prints: DataFrame, radius: int, hot: int) -> DataFrame:
+    """(fp, root, component_id, n_links) of every distinct fingerprint in ``prints``
+    (fp, low): root is the smallest fingerprint reachable, component_id the smallest
+    ``low`` among those, n_links the number of others within the radius."""
+    pairs = links(prints, radius, hot)
+    rooted = components(pairs).withColumnRenamed("node", "fp")
+    degree = (
+        pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
+    )
+    joined = keep(prints.join(rooted, "fp").join(degree, "fp"))
+    lows = joined.groupBy("root").agg(F.min("low").alias("component_id"))
+    linked = joined.join(lows, "root").select("fp", "root", "component_id", "n_links")
+    return prints.join(linked, "fp", "left").select(
+        "fp",
+        F.coalesce("root", "fp").alias("root"),
+        F.coalesce("component_id", "low").alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+    )
+
+
 def near_classes(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     shingle: int = SHINGLE, radius: int = RADIUS, hot: int = HOT,
@@ -134,254 +153,31 @@ def near_classes(
         docs.select(F.col(id_column).alias("id"), fingerprint(F.col(text_column), shingle).alias("fp"))
     )
     prints = keep(seen.groupBy("fp").agg(F.min("id").alias("low")))
-    pairs = links(prints, radius, hot)
-    rooted = components(pairs).withColumnRenamed("node", "fp")
-    degree = (
-        pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
-    )
-    joined = keep(prints.join(rooted, "fp").join(degree, "fp"))
-    lows = joined.groupBy("root").agg(F.min("low").alias("component_id"))
-    linked = joined.join(lows, "root").select("fp", "component_id", "n_links")
-    classes = prints.join(linked, "fp", "left").select(
-        "fp", F.coalesce("component_id", "low").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
+    classes = linked_prints(prints, radius, hot).drop("root")
     return seen.join(classes, "fp").select(F.col("id").alias(id_column), "fp", "component_id", "n_links")
 
 
-# Similar texts: classes by exact similarity
-
-#: References whose nearest shingle is taken, in bands of so many; words of a shingle;
-#: least similarity; bits within which similar texts' fingerprints lie.
-REFERENCES, BAND = 80, 4
-WORDS = 5
-SIMILARITY = 0.8
-WIDE_RADIUS = 20
-ROUNDS = 4
-#: Sets sampled for common shingles, classes of the sample that make one common, and
-#: how many are put last at most. They change the work only, not the result.
-SAMPLED, OFTEN, COMMON = 4_000, 8, 100_000
-SKETCH = "struct<set: long, fp: long, keys: array<long>, n: int, tokens: array<long>>"
-
-
-def shingle_set(text: bytes, shingle: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles."""
-    w = text.lower().split()
-    grams = zip(*(w[k:] for k in range(shingle))) if len(w) >= shingle else [w] if w else []
-    hashed = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((hashed(g, SEED) for g in map(b" ".join, grams)), np.uint64))
-
-
-def sketch(text: bytes, shingle: int, common: np.ndarray, least: float) -> dict:
-    """Key of the shingle set, its fingerprint, size, leading shingles and band keys. A reference's nearest
-    shingle is the one at the least Hamming distance; two sets have it in common as
-    often as their similarity says, since any of their shingles may be the nearest."""
-    h = shingle_set(text, shingle)
-    if not len(h):
-        return {"set": 0, "fp": 0, "keys": [], "n": 0, "tokens": []}
-    bits = np.zeros(64, np.int64)
-    for at in range(0, len(h), 1 << 16):
-        octets = h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
-        bits += np.unpackbits(octets, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    nearest = np.empty(REFERENCES, np.uint64)
-    for i, r in enumerate(pivots(REFERENCES)):
-        away = h ^ np.uint64(r & ONES)
-        rank = (np.bitwise_count(away).astype(np.uint64) << np.uint64(57)) | (away >> np.uint64(7))
-        nearest[i] = h[rank.argmin()]
-    return {
-        "set": signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)),
-        "fp": int(np.packbits(2 * bits > len(h), bitorder="little").view(np.int64)[0]),
-        "keys": [signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)) for x in nearest.reshape(-1, BAND)],
-        "n": len(h),
-        "tokens": leading(h, common, least),
-    }
-
-
-def sketched(text: Column, shingle: int, common: np.ndarray, least: float) -> Column:
-    @F.pandas_udf(SKETCH)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        found = [sketch(t, shingle, common, least) for t in texts]
-        return pd.DataFrame({k: pd.Series([f[k] for f in found], dtype=object) for k in ("set", "fp", "keys", "n", "tokens")})
-
-    return run(F.coalesce(text, F.lit("")).cast("binary"))
-
-
-@F.pandas_udf(DoubleType())
-def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = []
-    for x, y in zip(a, b):
-        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        common = len(np.intersect1d(x, y, assume_unique=True))
-        out.append(common / max(1, len(x) + len(y) - common))
-    return pd.Series(out, dtype=float)
-
-
-def text_hash() -> Column:
-    return F.xxhash64(F.coalesce("text", F.lit("")))
-
-
-def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, least: float, shingle: int) -> DataFrame:
-    """The pairs (a, b) of set keys whose shingle sets are similar. ``first`` has the
-    (set, doc_id, hash) of a text of each set; only the texts that a pair names are cut
-    into shingles again."""
-
-    @F.pandas_udf(BinaryType())
-    def whole(found: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, shingle).tobytes() for t in found], dtype=object)
-
-    named = keep(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(first, "set"))
-    if small(named):
-        named = F.broadcast(named)
-    texts = docs.select("doc_id", text_hash().alias("hash"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    texts = texts.join(named, ["doc_id", "hash"])
-    sets = keep(texts.select("set", whole("text").alias("s")).dropDuplicates(["set"]))
-    left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
-    both = pairs.join(left, "a").join(right, "b")
-    return keep(both.filter(_similarity("sa", "sb") >= least).select("a", "b"))
-
-
-def leading(h: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
-    """First shingles of a set in an order that all sets share: ``common`` ones
-    (sorted) last, by hash otherwise. Two sets of similarity ``least`` or more have one
-    of so many first shingles in common, whatever the order is."""
-    if len(common) and len(h):
-        often = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
-        h = np.concatenate([h[~often], h[often]])
-    first = len(h) - math.ceil(least * len(h) - 1e-9) + 1 if len(h) else 0
-    return h[:first].view(np.int64)
-
-
-def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
-    """Shingles that many of a sample of different texts hold, sorted; at most COMMON.
-    They only order the shingles: any choice gives the same classes."""
-
-    @F.pandas_udf("array<long>")
-    def whole(found: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, shingle).view(np.int64) for t in found], dtype=object)
-
-    part = max(1, docs.count() // SAMPLED)
-    some = docs.select(text_hash().alias("hash"), F.coalesce("text", F.lit("")).alias("text"))
-    some = some.filter(F.pmod("hash", F.lit(part)) == 0).dropDuplicates(["hash"])
-    held = some.select(F.explode(whole(F.col("text").cast("binary"))).alias("token"))
-    many = held.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN)
-    found = many.orderBy(F.desc("n"), "token").limit(COMMON).collect()
-    return np.sort(np.array([r["token"] for r in found], np.int64).view(np.uint64))
-
-
-def unlinked_pairs(cut: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """Every pair a < b of sets in different classes (``roots``: set, root, n)
-    that may be similar. ``cut`` has (set, tokens), one row for each set; n is its size
-    and the tokens are its leading shingles.
-
-    The pairs meet on one of their leading shingles. A pair of sufficient similarity
-    has enough shingles left from its first common one on in both sets, so others are
-    discarded in the join. In a group on one shingle only the rows outside its largest
-    class look for partners: a large class costs no more than its size.
-    """
-    rows = cut.select("set", F.posexplode("tokens").alias("pos", "token"))
-    token = Window.partitionBy("token")
-    met = rows.withColumn("two", F.min("set").over(token) < F.max("set").over(token)).filter("two")
-    met = met.join(roots, "set")
-    met = keep(met.select("token", "set", "root", "n", (F.col("n") - F.col("pos")).alias("left")))
-    sizes = met.groupBy("token", "root").agg(F.count(F.lit(1)).alias("m"))
-    largest = sizes.groupBy("token").agg(F.max(F.struct("m", "root")).alias("top"), F.count(F.lit(1)).alias("classes"))
-    mixed = keep(met.join(largest.filter("classes > 1").select("token", F.col("top.root").alias("top")), "token"))
-    x = mixed.filter("root <> top").select("token", *[F.col(c).alias(f"{c}_x") for c in ("set", "n", "left", "root")])
-    y = mixed.select("token", *[F.col(c).alias(f"{c}_y") for c in ("set", "n", "left", "root")])
-    enough = F.least("left_x", "left_y") * (1 + least) >= least * (F.col("n_x") + F.col("n_y")) - 1e-6
-    pairs = x.join(y, "token").filter((F.col("root_x") != F.col("root_y")) & enough)
-    return keep(pairs.select(F.least("set_x", "set_y").alias("a"), F.greatest("set_x", "set_y").alias("b")).distinct())
-
-
-def class_table(docs: DataFrame, shingle: int, least: float, radius: int) -> DataFrame:
-    """(doc_id, hash, component_id, component_hash) of every row: the class is named by
-    its row of the smallest doc_id, and of the smallest text hash among those.
-
-    First the crowd is linked: texts that share a band key are compared with one of
-    them, that which shares its keys with most others, so a group of n gives n pairs;
-    pairs that the pivot distance tables or the fingerprints put outside the radius
-    are discarded, the rest is compared exactly. Where some were not similar to it,
-    the others of the key are compared with the next, for ROUNDS rounds at most. Then
-    every pair that is still in two classes and may be similar is compared.
-    """
-    found = sketched(F.col("text"), shingle, common_shingles(docs, shingle), least).alias("s")
-    seen = keep(docs.select("doc_id", text_hash().alias("hash"), found).select("doc_id", "hash", "s.*"))
-    to_pivot = F.array(*[distance(F.col("fp"), F.lit(p)).cast("int") for p in pivots()])
-    sets = seen.groupBy("set").agg(
-        F.min(F.struct("doc_id", "hash")).alias("low"), F.first("fp").alias("fp"),
-        F.first("n").alias("n"), F.first("keys").alias("keys"),
-    )
-    sets = keep(sets.withColumn("d", to_pivot))
-    first = sets.select("set", "low", "n")
-    named = sets.select("set", "low.*")
-    keys = sets.select("set", F.posexplode("keys").alias("band", "key"))
-    shared = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    keys = keep(keys.join(shared, ["band", "key"]))
-    weights = keys.groupBy("set").agg(F.sum("n").alias("w"))
-    me = F.struct((-F.col("w")).alias("w"), "low", "set", "fp", "d").alias("me")
-    rows = keep(keys.select("band", "key", "set").join(sets.join(weights, "set").select("set", me), "set").drop("set"))
-    links = None
-    for _ in range(ROUNDS):
-        centers = keep(
-            rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("me").alias("center")).filter("n > 1").drop("n")
-        )
-        others = rows.join(centers, ["band", "key"]).filter(F.col("me.set") != F.col("center.set"))
-        apart = [F.abs(F.col("me.d")[i] - F.col("center.d")[i]) for i in range(PIVOTS)]
-        near = (F.greatest(*apart) <= radius) & (distance(F.col("me.fp"), F.col("center.fp")) <= radius)
-        pairs = others.filter(near).select(F.col("center.set").alias("a"), F.col("me.set").alias("b")).distinct()
-        if links is not None:
-            pairs = pairs.join(links, ["a", "b"], "left_anti")
-        pairs = keep(pairs)
-        if pairs.isEmpty():
-            break
-        found = verified(pairs, docs, named, least, shingle)
-        links = found if links is None else keep(links.union(found))
-        ends = links.select(F.col("a").alias("__a"), F.col("b").alias("__b"))
-        linked = (F.col("center.set") == F.col("__a")) & (F.col("me.set") == F.col("__b"))
-        told = keep(others.join(ends, linked, "left").withColumn("failed", F.col("__a").isNull()))
-        open_ = told.filter("failed").select("band", "key").distinct()
-        rows = keep(told.select("band", "key", "me").join(open_, ["band", "key"]))
-
-    def rooted() -> DataFrame:
-        if links is None:
-            return first.withColumn("root", F.col("set"))
-        found = components(links).withColumnRenamed("node", "set")
-        return keep(first.join(found, "set", "left").withColumn("root", F.coalesce("root", "set")))
-
-    classes = rooted()
-    cut = seen.groupBy("set").agg(F.first("tokens").alias("tokens"))
-    pairs = unlinked_pairs(cut, classes.select("set", "root", "n"), least)
-    if not pairs.isEmpty():
-        found = verified(pairs, docs, named, least, shingle)
-        links = found if links is None else keep(links.union(found))
-        classes = rooted()
-    lows = classes.groupBy("root").agg(F.min("low").alias("low"))
-    lowest = classes.select("set", "root").join(lows, "root").select(
-        "set", F.col("low.doc_id").alias("component_id"), F.col("low.hash").alias("component_hash")
-    )
-    return seen.select("doc_id", "hash", "set").join(lowest, "set").drop("set")
-
-
-def similar_classes(
-    docs: DataFrame, shingle: int = WORDS, least: float = SIMILARITY, radius: int = WIDE_RADIUS
-) -> DataFrame:
-    """(doc_id, component_id) of documents whose word-shingle sets have a similarity
-    (common over all) of ``least`` or more, directly or over others: the classes are
-    those of all pairs. Texts with equal sets, or without words, are one class."""
-    return class_table(docs, shingle, least, radius).select("doc_id", "component_id")
-
-
 def drop_near_copies(
-    docs: DataFrame, shingle: int = WORDS, least: float = SIMILARITY, radius: int = WIDE_RADIUS
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+    shingle: int = SHINGLE, radius: int = RADIUS, hot: int = HOT,
 ) -> DataFrame:
-    """One row of each class of similar documents stays: that of the smallest doc_id,
-    and of repeated rows with that id any one. Where texts of several classes share
-    that id, the one of the smallest text hash stays.
-
-    Rows without a doc_id stay as they are (no other row can be named instead).
+    """One row of each near-duplicate class stays, whole: the one of the smallest id
+    (a null id comes last), then of the smallest text hash, then of the smallest hash
+    of all columns. Classes are those of fingerprints, so rows that share an id but
+    lie in different classes all find their own place, and rows equal in every column
+    count as one. An empty table gives an empty result.
     """
-    named = docs.filter(F.col("doc_id").isNotNull())
-    classes = class_table(named, shingle, least, radius)
-    stay = classes.groupBy(F.col("component_id").alias("doc_id")).agg(F.min("component_hash").alias("__hash"))
-    one = named.withColumn("__hash", text_hash()).join(stay, ["doc_id", "__hash"], "left_semi")
-    one = one.dropDuplicates(["doc_id"]).select(docs.columns)
-    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
+    hashed = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    marks = {
+        "__id": F.col(id_column),
+        "__text": F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))),
+        "__row": F.xxhash64(*[F.col(c) for c in hashed]),
+    }
+    order = F.struct(F.col("__id").isNull().alias("last"), *marks)
+    seen = docs.select(*[c.alias(n) for n, c in marks.items()], fingerprint(F.col(text_column), shingle).alias("fp"))
+    prints = keep(seen.groupBy("fp").agg(F.min(order).alias("low")))
+    first = linked_prints(prints, radius, hot).groupBy("root").agg(F.min("component_id").alias("low"))
+    stay = first.select(*[F.col(f"low.{n}").alias(f"{n}_") for n in marks])
+    same = [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in marks]
+    one = docs.withColumns(marks).join(stay, same, "left_semi").dropDuplicates(list(marks))
+    return one.select(docs.columns)

@@ -82,27 +82,6 @@ def test_links_of_clustered_fingerprints(spark):
         assert {tuple(x) for x in S.links(df, hot=hot).collect()} == want
 
 
-def similar(rows, least=0.8):
-    """{id: smallest id reachable} over all pairs of similar shingle sets."""
-    sets = [set(S.shingle_set((t or "").encode()).tolist()) for _, t in rows]
-    root = list(range(len(rows)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(rows)):
-        for j in range(i):
-            union = len(sets[i] | sets[j])
-            if not union or len(sets[i] & sets[j]) / union >= least:
-                root[find(i)] = find(j)
-    lows = {}
-    for i, (d, _) in enumerate(rows):
-        lows[find(i)] = min(lows.get(find(i), d), d)
-    return {d: lows[find(i)] for i, (d, _) in enumerate(rows)}
-
-
 def planted():
     r = random.Random(12)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8)))
@@ -110,74 +89,58 @@ def planted():
     rows = []
     for g in range(40):
         base = [word() for _ in range(r.randint(60, 300))]
-        rows.append((g, " ".join(base)))
-        for k in range(r.randint(0, 6)):
-            copy = list(base)
-            for _ in range(r.randint(0, len(copy) // 100 + 1)):
-                copy[r.randrange(len(copy))] = word()
-            rows.append((100 + 10 * g + k, " ".join(copy)))
+        rows += [(g, " ".join(base))] * r.randint(1, 3)  # repeated rows
+        rows += [(100 + 10 * g + k, " ".join(base)) for k in range(r.randint(0, 4))]
+        rows += [(100 + 10 * g + 9, " ".join([*base[:-1], word()]))]
     rows += [(1000 + i, " ".join([word() for _ in range(60)] + passage)) for i in range(80)]  # no copies
-    base = [word() for _ in range(200)]
+    base = [word() for _ in range(900)]
     for i in range(60):  # a large group of near copies of one text
         copy = list(base)
-        copy[r.randrange(200)] = word()
+        copy[r.randrange(900)] = word()
         rows.append((2000 + i, " ".join(copy)))
+    rows += [(5000, " ".join(word() for _ in range(70))) for _ in range(3)]  # one id, three texts
     return rows
 
 
-def test_similar_classes_find_planted_copies(spark):
-    rows = planted()
-    want = similar(rows)
-    got = {r["doc_id"]: r["component_id"] for r in S.similar_classes(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got.keys() == want.keys()
-    assert all(got[d] == d for d in want if 1000 <= d < 2000)
-    assert {d for d in want if got[d] == d and want[d] != d} == set()
-    assert got == want
-
-
-def hub():
-    """A text with a middle id, 300 copies of it at 0.85 that are under 0.8 to each
-    other, and other texts that share a long passage."""
-    r = random.Random(3)
-    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 8)))
-    base = [word() for _ in range(400)]
-    rows = [(150, " ".join(base))]
-    for i in range(300):
-        copy = list(base)
-        for at in r.sample(range(2, 398, 6), 6):
-            copy[at] = word()
-        rows.append((i if i < 150 else i + 1, " ".join(copy)))
-    passage = [word() for _ in range(150)]
-    rows += [(1000 + i, " ".join([word() for _ in range(60)] + passage)) for i in range(200)]
-    return rows
-
-
-def test_hub_with_a_middle_id(spark):
-    rows = hub()
-    want = similar(rows)
-    assert {want[i] for i in range(301)} == {0} and len(set(want.values())) == 201
-    df = spark.createDataFrame(rows, SCHEMA)
-    assert {r["doc_id"]: r["component_id"] for r in S.similar_classes(df).collect()} == want
+def stays(rows, radius=3):
+    """The rows that stay, over all pairs: smallest id of each class, null ids last."""
+    prints = [plain(t) for _, t in rows]
+    root = list(range(len(rows)))
 
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
 
-def test_exact_without_bands(spark, monkeypatch):
-    """All pairs are found even where no band links any, and whatever is common."""
-    monkeypatch.setattr(S, "ROUNDS", 0)
-    monkeypatch.setattr(S, "OFTEN", 2)
-    rows = planted()
-    got = {r["doc_id"]: r["component_id"] for r in S.similar_classes(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == similar(rows)
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= radius:
+                root[find(i)] = find(j)
+    groups = {}
+    for i, row in enumerate(rows):
+        groups.setdefault(find(i), []).append(row)
+    return [sorted(d for d, _ in g if d is not None)[0] if any(d is not None for d, _ in g) else None for g in groups.values()]
 
 
 def test_one_of_each_class_stays(spark, clash):
     rows = [*corpus(), *planted()]
-    rows = [(d, t) for d, t in rows if d is None or d < 1000 or d >= 2000]
-    df = clash(spark.createDataFrame(rows, SCHEMA), "fp", "component_id", "set", "low")
+    df = clash(spark.createDataFrame(rows, SCHEMA), "fp", "component_id", "root", "low", "id", "last")
     kept = S.drop_near_copies(df)
     assert kept.columns == df.columns
-    want = set(similar([x for x in rows if x[0] is not None]).values())
-    ids = [x["doc_id"] for x in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 2
+    got = [tuple(x)[:2] for x in kept.collect()]
+    assert sorted((d for d, _ in got), key=str) == sorted(stays(rows), key=str)
+    assert set(got) <= set(rows) and len({plain(t) for _, t in got}) == len(got)
+    assert {d for d, _ in got} >= set(range(1000, 1080))
+    assert [d for d, _ in got].count(5000) == 3  # three texts under one id are three classes
+
+
+def test_rows_that_share_an_id_and_repeat(spark):
+    rows = [(1, "one two three four", "b"), (1, "one two three four", "a"), (1, "quite another text here", "c"), (2, "x y z", None), (2, "x y z", None)]
+    df = spark.createDataFrame(rows, SCHEMA + ", source string")
+    got = {tuple(x) for x in S.drop_near_copies(df).collect()}
+    again = {tuple(x) for x in S.drop_near_copies(df.repartition(7)).collect()}
+    assert got == again and len(got) == 3
+    assert {(d, t) for d, t, _ in got} == {(d, t) for d, t, _ in rows}
 
 
 def test_empty_table(spark):
