@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtrend.llm import curriculum, decontaminate, host_rules, html_extract, language_id, sharding
-from gridtrend.llm import simhash, suffix_dedup, toxicity, warc
+from gridtrend.llm import curriculum, decontaminate, hard_negatives, host_rules, html_extract, language_id
+from gridtrend.llm import one_bit_search, ranked_search, sharding, simhash, suffix_dedup, toxicity, warc
 from gridtrend.llm.common import keep, remainder, table
 
 QUERIES = {}
@@ -106,6 +106,91 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "match.*")
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("long").alias("id"),
+        F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"),
+        hard_negatives.scaled("embedding").alias("vec"),
+    )
+    return hard_negatives.mine(rows, F.col("id") % 50 == 0)
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked_search.ranked(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+@query
+def op13_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vec")
+    )
+    return one_bit_search.nearest(rows, F.col("id") % 50 == 0)
+
+
+ORACLES["op12_ranked_search"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents
+), l AS (
+  SELECT rid, doc_id, len(ts)::BIGINT AS n, ts FROM d WHERE len(ts) > 0
+), whole AS (
+  SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM l
+), tf AS (
+  SELECT rid, t, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(ts) AS t FROM l) GROUP BY rid, t
+), q AS (
+  SELECT item_id, text, t, count(*)::BIGINT AS times FROM (
+    SELECT item_id, text, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+    FROM (SELECT DISTINCT item_id, text FROM benchmark)
+  ) GROUP BY item_id, text, t
+), w AS (
+  SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT t, count(*)::BIGINT AS df FROM tf GROUP BY t), whole
+), m AS (
+  SELECT rid, doc_id, 100 - 75 + ((75 * n * docs) // terms) AS m FROM l, whole
+), scored AS (
+  SELECT item_id, text, rid, any_value(doc_id) AS doc_id,
+         sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN w USING (t) JOIN tf USING (t) JOIN m USING (rid) GROUP BY item_id, text, rid
+)
+SELECT item_id,
+       (row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank,
+       doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+ORACLES["op11_hard_negatives"] = r"""
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT a.id AS anchor_id, c.id, a.label = c.label AS same, list_dot_product(a.x, c.x)::BIGINT AS score
+  FROM v a JOIN v c ON a.id <> c.id AND len(a.x) = len(c.x) WHERE a.id % 50 = 0
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id,
+       (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id))::INTEGER AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN pairs USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
 ORACLES["op8_host_rules"] = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS body FROM documents
