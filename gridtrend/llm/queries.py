@@ -88,7 +88,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     numbered = docs.withColumn("__rid", F.monotonically_increasing_id())
     measures = keep(sharding.measured(numbered, "doc_id"))
-    return measures.drop("group").join(sharding.assign(measures), "rid").select(
+    return measures.drop("group", "mark").join(sharding.assign(measures), "rid").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -3,9 +3,13 @@
 A shard is a label. Documents with equal texts are linked through their text, as a
 hub, so a group of n copies has n links and not n squared. In every round a group's
 bytes are summed by shard and its rows elsewhere are offered to the shard that holds
-most of it; a shard takes offers, in the order of a hash of the group, up to its
-room. Rounds end when nothing moves. Then sizes are made even: shards over their
-quota give rows, unlinked and small ones first, to shards under it.
+most of it among those with room for a row of it; a shard takes offers, small groups
+first, up to its room, row by row. A group larger than a shard's room so fills one shard
+after the other. Rounds end when hardly anything moves. Then sizes are made even: shards
+over their quota give rows, unlinked and small ones first, to shards under it.
+
+Rows are known by a hash of all their columns and the number of the copy, so neither
+the partitioning nor a rerun changes where a row goes.
 """
 
 from __future__ import annotations
@@ -21,11 +25,11 @@ SHARDS = 16
 #: A document above 1 / HEAVY of a shard's mean size is placed by itself, largest
 #: first; there are at most SHARDS * HEAVY of them.
 HEAVY = 64
-ROUNDS = 4
+#: Rounds for each shard at most, and the share of the linked bytes below which a round's
+#: moves are no longer worth the next one.
+ROUNDS, SETTLED = 3, 0.001
 SLACK = 0.5
 EVENINGS = 2
-GROUP_CELLS = 1024
-ROW_CELLS = 16
 
 
 def place_heavy(sizes: list[tuple[int, int]], shards: int) -> tuple[dict[int, int], list[int]]:
@@ -60,48 +64,35 @@ def loads_of(rows: DataFrame, shards: int) -> list[int]:
     return [found.get(s, 0) for s in range(shards)]
 
 
-def one_round(rows: DataFrame, capacity: list[float], loads: list[int]) -> DataFrame:
+def one_round(rows: DataFrame, capacity: list[float], loads: list[int]) -> tuple[DataFrame, int]:
     """Move linked rows towards the shards that hold most of their group, as far as
-    the shards have room. Only groups of two rows or more and of two shards or more
-    take part in the joins."""
+    the shards have room: the rows, and how many bytes moved. Only groups of two rows or
+    more and of two shards or more take part in the joins."""
     room = [max(0.0, c - l) for c, l in zip(capacity, loads)]
-    held = rows.groupBy("group", "shard").agg(F.sum("size").alias("held"))
+    held = keep(rows.groupBy("group", "shard").agg(F.sum("size").alias("held"), F.count(F.lit(1)).alias("n")))
     offer = F.struct("held", F.xxhash64("group", "shard"), "shard")
-    best = (
-        held.filter(chosen(F.col("shard"), room) > 0)
-        .groupBy("group")
-        .agg(F.max(offer).alias("best"))
-        .select("group", F.col("best.held").alias("most"), F.col("best.shard").alias("to"))
-    )
+    taking = chosen(F.col("shard"), room) >= F.col("held") / F.col("n")  # texts of a group are equal
+    whole = held.groupBy("group").agg(
+        F.max(F.when(taking, offer)).alias("best"), F.sum("n").alias("all")
+    ).filter("best is not null")
+    best = whole.select("group", F.col("best.held").alias("most"), F.col("best.shard").alias("to"), "all")
     leave = (
         held.join(best, "group")
         .filter((F.col("shard") != F.col("to")) & (F.col("held") <= F.col("most")))
-        .select("group", "shard", "to")
+        .select("group", "shard", "to", "all")
     )
-    group_cell = (F.conv(F.substring("group", 1, 8), 16, 10).cast("long") % GROUP_CELLS) * ROW_CELLS
-    row_cell = F.conv(F.substring("key", 1, 1), 16, 10).cast("long") % ROW_CELLS
+    digit = F.lower(F.hex(F.least(F.lit(15), F.floor(F.log2(F.col("all").cast("double")))).cast("long")))
     offers = keep(
-        rows.join(leave, ["group", "shard"]).select("rid", "to", "size", (group_cell + row_cell).alias("cell"))
-    )
-    cells = offers.groupBy("to", "cell").agg(F.sum("size").alias("size"))
-    upto = Window.partitionBy("to").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    # The first cell that no longer fits, for each shard: as many rows as shards.
-    ends = (
-        cells.withColumn("sum", F.sum("size").over(upto))
-        .filter(F.col("sum") > chosen(F.col("to"), room))
-        .groupBy("to")
-        .agg(F.min("cell").alias("end"))
-        .collect()
-    )
-    stop = [GROUP_CELLS * ROW_CELLS] * len(room)
-    for r in ends:
-        stop[r["to"]] = r["end"]
-    moved = offers.filter(F.col("cell") < chosen(F.col("to"), stop)).select("rid", "to")
-    return keep(
-        rows.join(moved, "rid", "left")
-        .withColumn("shard", F.coalesce("to", "shard"))
-        .select("rid", "group", "key", "size", "shard")
+        rows.join(leave, ["group", "shard"]).select("rid", "to", "size", F.concat(digit, "key").alias("order"))
     )
+    ranked = running_sums(offers, ["to"], "order", ["rid"], {"before": "size"})
+    fits = F.col("before") + F.col("size") <= chosen(F.col("to"), room)
+    moved = keep(ranked.filter(fits).select("rid", "to", "size"))
+    amount = moved.agg(F.sum("size")).first()[0] or 0
+    if not amount:
+        return rows, 0
+    after = rows.join(moved.drop("size"), "rid", "left").withColumn("shard", F.coalesce("to", "shard"))
+    return keep(after.select("rid", "group", "key", "size", "shard")), amount
 
 
 def even_out(rows: DataFrame, quota: list[float], loads: list[int]) -> DataFrame:
@@ -133,13 +124,16 @@ def even_out(rows: DataFrame, quota: list[float], loads: list[int]) -> DataFrame
 
 
 def measured(docs: DataFrame, *columns: str) -> DataFrame:
-    """rid, size, text_crc32 and group of every document, and the columns asked for."""
+    """rid, size, text_crc32, group and mark (hash of all columns) of every document, and
+    the columns asked for."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    hashed = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString() and f.name != "__rid"]
     return docs.select(
         F.col("__rid").alias("rid"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.md5(text).alias("group"),
+        F.xxhash64(*hashed).alias("mark"),
         *columns,
     )
 
@@ -150,12 +144,18 @@ def assign(measures: DataFrame, shards: int = SHARDS) -> DataFrame:
     The law is ``bytes``: sizes (UTF-8 bytes of the text and one more; a null text has
     none, and the checksum of the empty text) are near equal. Only a document larger
     than a shard's mean size can make a shard larger. Slots are gapless from 0 in
-    each shard. Repeated rows are linked like other copies. An empty table has no rows.
+    each shard. Repeated rows are linked like other copies, and numbered, for their keys;
+    which of rows that are equal in every column has which number is left open. A null
+    doc_id is a value like another. An empty table has no rows.
     """
-    every = measures.select("rid", "size", "group", uniform_key("shard", "rid").alias("key"))
+    marked = measures.select("rid", "size", "group", "mark", uniform_key("copy", "rid").alias("__at")).withColumn("__one", F.lit(1))
+    copies = running_sums(marked, ["mark"], "__at", ["rid"], {"copy": "__one"})
+    every = keep(copies.select("rid", "size", "group", uniform_key("shard", "group", "mark", "copy").alias("key")))
     total = every.agg(F.sum("size")).first()[0] or 0
     is_heavy = F.col("size") * F.lit(shards * HEAVY) > F.lit(total)
-    heavy, held = place_heavy([(r["size"], r["rid"]) for r in every.filter(is_heavy).select("size", "rid").collect()], shards)
+    largest = every.filter(is_heavy).select("size", "key", "rid").collect()
+    heavy, held = place_heavy([(r["size"], (r["key"], r["rid"])) for r in largest], shards)
+    heavy = {rid: shard for (_, rid), shard in heavy.items()}
     quota = quotas(total, held)
     whole = sum(quota) or 1.0
     place = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
@@ -170,13 +170,12 @@ def assign(measures: DataFrame, shards: int = SHARDS) -> DataFrame:
     linked = keep(rows.filter("linked").drop("linked"))
     alone = loads_of(rows.filter("not linked"), shards)
     capacity = [q * (1 + SLACK) for q in quota]
-    was = None
-    for _ in range(ROUNDS):
+    of_linked = sum(loads_of(linked, shards))
+    for _ in range(ROUNDS * shards if of_linked and shards > 1 else 0):
         loads = [a + b for a, b in zip(alone, loads_of(linked, shards))]
-        if loads == was:
+        linked, moved = one_round(linked, capacity, loads)
+        if moved <= SETTLED * of_linked:
             break
-        was = loads
-        linked = one_round(linked, capacity, loads)
     rows = rows.filter("not linked").unionByName(linked.withColumn("linked", F.lit(True)))
     for _ in range(EVENINGS):
         loads = loads_of(rows, shards)
@@ -194,11 +193,20 @@ def assign(measures: DataFrame, shards: int = SHARDS) -> DataFrame:
     return slots.select("rid", "shard", F.col("slot").cast("long").alias("slot"))
 
 
+def cut_share(measures: DataFrame, placed: DataFrame) -> float | None:
+    """Share of the linked rows (those with an equal text elsewhere) that lie outside the
+    shard that holds most of their group; null if no row is linked."""
+    held = measures.select("rid", "group").join(placed.select("rid", "shard"), "rid").groupBy("group", "shard")
+    groups = held.agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(F.sum("n").alias("all"), F.max("n").alias("most"))
+    return groups.filter(F.col("all") > 1).agg(F.sum(F.col("all") - F.col("most")) / F.sum("all")).first()[0]
+
+
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``docs`` with ``size``, ``text_crc32``, ``shard`` and ``slot``; columns of
-    ``docs`` that have these names are replaced."""
+    ``docs`` that have these names are replaced. Nulls, ties, repeated rows and an empty
+    table: as ``assign`` says."""
     own = [c for c in docs.columns if c not in ("size", "text_crc32", "shard", "slot")]
     rows = keep(docs.select(*own, F.monotonically_increasing_id().alias("__rid")))
     measures = keep(measured(rows))
-    found = assign(measures, shards).join(measures.drop("group"), "rid").withColumnRenamed("rid", "__rid")
+    found = assign(measures, shards).join(measures.drop("group", "mark"), "rid").withColumnRenamed("rid", "__rid")
     return rows.join(found, "__rid").drop("__rid")

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridtrend.llm import sharding as S
 
@@ -75,3 +76,43 @@ def test_quotas_and_placing():
     q = S.quotas(30, loads)
     assert abs(sum(q) - 4) < 1e-9
     assert S.quotas(30, [20, 2, 2]) == [0.0, 3.0, 3.0]
+
+
+def hot(n=4000, copies=2000):
+    """Single texts, and a group of equal ones with about a third of all bytes."""
+    r = random.Random(3)
+    text = lambda: "".join(r.choice("abcdefgh ") for _ in range(60))
+    same = text()
+    return [(i, text()) for i in range(n)] + [(10_000 + i, same) for i in range(copies)]
+
+
+def test_a_large_group_fills_one_shard_after_the_other(spark):
+    rows = hot()
+    got = S.sharded(spark.createDataFrame(rows, SCHEMA)).collect()
+    laws(rows, got, 16, 0.01 * sum(r["size"] for r in got) / 16 + 70)
+    on = Counter(r["shard"] for r in got if r["doc_id"] >= 10_000)
+    assert len(on) <= 7
+
+
+def test_reruns_and_partitions_agree(spark):
+    rows = corpus(400) + [(7, "twice"), (7, "twice"), (None, None), (None, None)]
+    df = spark.createDataFrame([(*x, str(i % 3)) for i, x in enumerate(rows)], SCHEMA + ", source string")
+    seen = [sorted(map(str, S.sharded(d).collect())) for d in (df, df, df.repartition(7), df.orderBy(F.desc("doc_id")))]
+    assert all(s == seen[0] for s in seen[1:])
+
+
+def test_cut_share(spark):
+    """Brute force over the result, and far below what chance would cut."""
+    rows = corpus(1500)
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "__rid long, " + SCHEMA)
+    measures = S.keep(S.measured(df))
+    placed = S.keep(S.assign(measures))
+    where = defaultdict(Counter)
+    for r in placed.collect():
+        where[rows[r["rid"]][1] or ""][r["shard"]] += 1
+    groups = [c for c in where.values() if sum(c.values()) > 1]
+    want = sum(sum(c.values()) - max(c.values()) for c in groups) / sum(sum(c.values()) for c in groups)
+    small = [c for c in groups if sum(c.values()) <= 6]
+    assert abs(S.cut_share(measures, placed) - want) < 1e-12
+    assert sum(sum(c.values()) - max(c.values()) for c in small) < 0.2 * sum(sum(c.values()) for c in small)  # by chance about 0.7
+    assert S.cut_share(measures.limit(0), placed) is None
