@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -54,8 +56,20 @@ STARTS = ("advert", "sponsor", "navig", "navbar", "breadcrumb", "cookie", "conse
           "promot", "disqus", "gdpr", "sidebar", "outbrain", "taboola")
 #: Marks of parts that often hold more text than the article.
 TALK = ("comment", "repl", "respond", "disqus", "cookie", "consent", "gdpr")
-#: Elements whose text stands for itself.
-LINES = {"h1", "h2", "h3", "h4", "h5", "h6", "p"}
+#: Words that say nothing beside a mark: a class or id is a mark if it has one and its
+#: other words are of these.
+PLAIN = {
+    "a", "area", "bar", "block", "blocks", "body", "bottom", "box", "boxes", "btn", "button", "buttons", "column",
+    "container", "content", "entry", "footer", "global", "group", "holder", "inner", "item", "items", "js", "left",
+    "link", "links", "list", "main", "mobile", "module", "outer", "page", "panel", "post", "posts", "primary",
+    "region", "right", "row", "secondary", "section", "site", "sticky", "text", "title", "top", "unit", "wrap",
+    "wrapper", "wp", "us", "slot", "policy", "icons", "icon", "media", "articles", "stories", "message", "header",
+}
+#: Share of the text that a container holds for the vote to go down into it from the top
+#: of the page, where what stands beside it in containers of their own is less than a
+#: tenth and taken for noise; and from any other container, whose parts belong together.
+DOWN, WITHIN = 0.9, 0.999
+TOPS = {"", "html", "body"}
 SHARE = 0.8
 MOST = 0.5
 NEVER = 2.0
@@ -64,10 +78,14 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
+    """A container. Its path is known by a hash of its parent's and its own step, so that
+    a page of many thousand nested elements needs no more than that for each."""
+
     __slots__ = ("up", "path", "score", "tag", "children", "order")
 
-    def __init__(self, up, path: str, tag: str, order: int):
-        self.up, self.path, self.tag, self.score, self.children, self.order = up, path, tag, 0.0, [], order
+    def __init__(self, up, step: str, tag: str, order: int):
+        self.up, self.tag, self.score, self.children, self.order = up, tag, 0.0, [], order
+        self.path = xxhash.xxh64_hexdigest(f"{up.path}>{step}") if up is not None else ""
         if up is not None:
             up.children.append(self)
 
@@ -89,10 +107,14 @@ def boilerplate(tag: str, attrs: dict[str, str], in_article: bool) -> float:
         return NEVER
     if tag in ("body", "html", "main", "article"):
         return MOST if role == "form" else 0.0
-    marks = [w.lower() for w in WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")]
-    if in_article and tag in ("header", "h1", "h2", "div"):
-        marks = [w for w in marks if w != "header"]
-    marks = [w for w in marks if w in MARKS or w.startswith(STARTS)]
+    marks = []
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        words = [w.lower() for w in WORD.findall(name)]
+        if in_article and tag in ("header", "h1", "h2", "div"):
+            words = [w for w in words if w != "header"]
+        marked = [w for w in words if w in MARKS or w.startswith(STARTS)]
+        if marked and all(w in marked or w in PLAIN for w in words):
+            marks += marked
     if any(w.startswith(TALK) for w in marks):
         return SHARE
     return MOST if marks or role == "form" else least
@@ -114,13 +136,15 @@ class Page:
         if self.spared:
             self.read(source)
         for node, text, links in self.scored:
-            value = max(0.0, len(text) - 2.0 * links)
-            while node is not None:
-                node.score += value
-                node = node.up
+            node.score += max(0.0, len(text) - 2.0 * links)
+        for node in reversed(self.nodes[1:]):  # children come after their parents
+            node.up.score += node.score
 
     def read(self, source: str) -> None:
         self.root = Node(None, "", "", 0)
+        #: Places in the stack of the open elements of each name, and of blocks.
+        self.open_at: defaultdict[str, list[int]] = defaultdict(list)
+        self.open_blocks: list[int] = []
         self.nodes = [self.root]
         self.blocks: list[tuple[Node, str]] = []
         # name, container, boilerplate, article, link, innermost marked element, never text
@@ -133,9 +157,9 @@ class Page:
         #: element around it, unlinked text that is in no marked element in it, and
         #: that of article elements.
         self.marked: list[list] = [[NEVER, 0, 0, 0]]
-        at = 0
+        at, last = 0, source.rfind(">")
         while True:
-            m = TAG.search(source, at)
+            m = TAG.search(source, at) if at <= last or source.find("<!--", at) >= 0 else None
             self.text(source[at : m.start() if m else len(source)])
             if not m:
                 break
@@ -146,8 +170,9 @@ class Page:
             if close:
                 self.close(name)
             elif name in RAW:
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
-                at = end.end() if end else len(source)
+                end = re.compile(rf"</{name}\b", re.I).search(source, at)
+                at = source.find(">", end.end()) + 1 if end else 0
+                at = at or len(source)
             else:
                 self.open(name, rest)
         self.flush()
@@ -186,12 +211,15 @@ class Page:
                 node = self.here()[1]
                 self.blocks.append((node, text))
                 self.scored.append((node, text, min(self.linked, len(text))))
-                block = next((x[0] for x in reversed(self.stack) if x[0] in BLOCKS), "")
-                self.lines.append(block in LINES and 2 * self.linked <= len(text))
+                self.lines.append(2 * self.linked <= len(text))
         self.parts, self.linked = [], 0
 
     def drop_to(self, k: int) -> None:
-        del self.stack[k:]
+        while len(self.stack) > k:
+            name = self.stack.pop()[0]
+            self.open_at[name].pop()
+            if name in BLOCKS:
+                self.open_blocks.pop()
 
     def open(self, name: str, rest: str) -> None:
         if name == "br":
@@ -199,13 +227,10 @@ class Page:
             return
         if name in BLOCKS:
             self.flush()
-            for k in range(len(self.stack) - 1, -1, -1):
-                n = self.stack[k][0]
-                if n == "p" or n in CLOSES.get(name, ()):
+            if self.open_blocks:
+                k = self.open_blocks[-1]
+                if self.stack[k][0] == "p" or self.stack[k][0] in CLOSES.get(name, ()):
                     self.drop_to(k)
-                    break
-                if n in BLOCKS:
-                    break
         if name in VOID:
             return
         attrs = attributes(rest)
@@ -218,28 +243,29 @@ class Page:
             inner = len(self.marked) - 1
             gone = gone or inner not in self.spared
         if name in CONTAINERS and not gone:
-            step = label(name, attrs)
-            node = Node(node, f"{node.path}>{step}" if node.path else step, name, len(self.nodes))
+            node = Node(node, label(name, attrs), name, len(self.nodes))
             self.nodes.append(node)
+        self.open_at[name].append(len(self.stack))
+        if name in BLOCKS:
+            self.open_blocks.append(len(self.stack))
         self.stack.append((name, node, gone, article or name in ("article", "main"), link or name == "a", inner, never))
 
     def close(self, name: str) -> None:
         if name in BLOCKS:
             self.flush()
-        for k in range(len(self.stack) - 1, -1, -1):
-            n = self.stack[k][0]
-            if n == name:
-                self.drop_to(k)
-                return
-            if name not in BLOCKS and n in BLOCKS:
-                return
+        if not self.open_at[name]:
+            return
+        k = self.open_at[name][-1]
+        if name in BLOCKS or not self.open_blocks or k > self.open_blocks[-1]:
+            self.drop_to(k)
 
     def vote(self) -> Node:
         """From the root down to the container whose parts do not hold most of it."""
         node = self.root
         while node.children:
             best = max(node.children, key=lambda c: (c.score, -c.order))
-            if best.score < SHARE * node.score or not best.score or (node.tag in ("article", "main") and best.tag != "article"):
+            least = (DOWN if node.tag in TOPS else WITHIN) * node.score
+            if best.score < least or not best.score or (node.tag in ("article", "main") and best.tag != "article"):
                 break
             node = best
         return node
@@ -254,30 +280,32 @@ class Page:
 
     def within(self, path: str) -> str:
         """Blocks of all containers with a path and text of their own, in page order, and
-        the headings and paragraphs that stand directly in what is around them, up to
-        the article or main part."""
-        chosen = {n.order for n in self.nodes if n.path == path and (n.score or not path)}
-        above = set()
-        for k in chosen:
-            around, node = set(), self.nodes[k].up
-            while node is not None and node.order not in above:
-                around.add(node.order)
-                if node.tag in ("article", "main"):
-                    break
-                node = node.up
-            if self.nodes[k].tag not in ("article", "main") or (node is not None and node.tag in ("article", "main")):
-                above |= around
-        out = []
-        for (node, text), line in zip(self.blocks, self.lines):
-            if line and node.order in above:
-                out.append(text)
-                continue
-            while node is not None:
-                if node.order in chosen:
-                    out.append(text)
-                    break
-                node = node.up
-        return "\n".join(out)
+        the blocks that stand directly in what is around them, up to the article or main
+        part: headings, paragraphs, lists, quotations and bare text, but not mere links.
+        A container with one part that holds most of it is around that part."""
+        inside, part, above = [False] * len(self.nodes), [0] * len(self.nodes), set()
+        around = set()
+        for n in self.nodes[1:]:  # parents come first
+            part[n.order] = n.order if n.tag in ("article", "main") else part[n.up.order]
+        for n in self.nodes:
+            own = n.path == path and bool(n.score or not path)
+            inside[n.order] = own or (n.up is not None and inside[n.up.order])
+            if inside[n.order] and (own or n.up.order in around) and n.tag not in ("article", "main"):
+                if any(c.score >= SHARE * n.score for c in n.children if c.score):
+                    around.add(n.order)
+            whole = part[n.up.order] if n.up is not None else 0
+            if own and n.up is not None and (n.tag not in ("article", "main") or whole):
+                node = n.up
+                while node is not None and node.order not in above:
+                    above.add(node.order)
+                    if node.order == whole and whole:
+                        break
+                    node = node.up
+        kept = (
+            text for (node, text), line in zip(self.blocks, self.lines)
+            if (inside[node.order] and (line or node.order not in around)) or (line and node.order in above)
+        )
+        return "\n".join(kept)
 
     def scores(self, own: Node, path: str, beside: set[str]) -> tuple[float, float]:
         """Score on a path in the page, and that of a container that lies on the path or

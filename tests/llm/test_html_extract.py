@@ -1,5 +1,9 @@
 import html
 import re
+import time
+import tracemalloc
+
+import pytest
 
 from gridtrend.llm import html_extract as X
 
@@ -102,3 +106,75 @@ def test_whole_table(spark):
 
 def test_empty_table(spark):
     assert X.extract(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def words(n, of="word"):
+    return " ".join(f"{of}{i}" for i in range(n))
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        "<div class=main><div class=part>{a}</div><div class=more>{b}</div></div>",
+        "<div class=main><ul><li>{b}</li></ul><div class=content>{a}</div></div>",
+        "<div class=main><div class=content>{a}</div><blockquote>{b}</blockquote></div>",
+        "<div class=main>{b}<div class=content>{a}</div></div>",
+        "<div class=main><div class=content>{a}</div>{b}</div>",
+        "<article><p>{a}</p><p class='share-price'>{b}</p></article>",
+        "<article><p>{a}</p><p id='form-of-art'>{b}</p></article>",
+        "<article><p>{a}</p><div class='related-facts comment-on-history'>{b}</div></article>",
+    ],
+)
+def test_no_article_text_is_lost(body):
+    page = "<html><body><nav>Menu</nav>" + body.format(a=words(400), b=words(20, "more")) + "<footer>End</footer></body></html>"
+    assert sorted(X.Page(page).extract([]).split()) == sorted((words(400) + " " + words(20, "more")).split())
+
+
+def test_marked_parts_still_go():
+    for mark in ("share", "share-buttons", "related-posts", "cookie-notice", "nav_bar", "sidebar-2 right", "siteFooter", "ad", "comment-list"):
+        page = f"<body><div class=main><div class=content>{words(400)}</div><div class='{mark}'>{words(5, 'gone')}</div></div></body>"
+        assert X.Page(page).extract([]) == words(400), mark
+
+
+def test_every_nested_word_stays():
+    page = "<body>" + "".join(f"<div>n{i} " for i in range(2000))
+    assert X.Page(page).extract([]).split() == [f"n{i}" for i in range(2000)]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a " * 350_000, '<a "' * 250_000, "<div>" * 100_000 + "deep", "<div>y " * 100_000, "<div class=a>y" * 20_000,
+        "<b>" * 50_000 + "</i>" * 50_000, "<b><div>" * 30_000 + "</b>" * 30_000, "<script>" + "</script " * 50_000,
+        "<!" * 300_000, "<!--" * 200_000, "<p class='" * 100_000, "<" * 500_000 + ">" * 500_000,
+    ],
+    ids=range(12),
+)
+def test_odd_pages_take_time_and_memory_in_proportion(page):
+    start = time.process_time()
+    X.Page(page).extract([])
+    assert time.process_time() - start < 10
+    tracemalloc.start()
+    X.Page(page[: len(page) // 4]).extract([])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50_000_000
+
+
+def test_paths_of_a_host_by_brute_force(spark):
+    """Votes counted by host, against a count of the pages' own choices."""
+    shapes = ["<div class=story9>{}</div>", "<div class='b a'><section>{}</section></div>", "<table><tr><td>{}</td></tr></table>"]
+    rows = [(i, f"http://h{i % 3}/x", "<body>" + shapes[i * i % 7 % 3].format(words(30 + i)) + "</body>") for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("host", X.host(X.F.col("url")))
+    want = {}
+    for _, url, page in rows:
+        key = (url[7:9], X.Page(page).vote().path)
+        want[key] = want.get(key, 0) + 1
+    got = {(r["host"], r["path"]): r["pages"] for r in X.votes(df.select("host", "html")).collect() if r["pages"]}
+    assert got == want and len({p for _, p in want}) == 3
+    kept = {r["host"]: r["winners"] for r in X.winning_paths(X.votes(df.select("host", "html"))).collect()}
+    for h in ("h0", "h1", "h2"):
+        mine = {p: n for (g, p), n in want.items() if g == h}
+        most, whole = max(mine.values()), sum(mine.values())
+        wins = [p for p, n in sorted(mine.items(), key=lambda x: (-x[1], x[0])) if n >= 0.2 * whole or n == most]
+        assert kept[h] == wins
