@@ -12,6 +12,7 @@ from gridtrend.functions.nulls import not_in
 from gridtrend.functions.scalars import expit, logit, neg_log, year_to_date
 from gridtrend.operators import groups, keys
 from gridtrend.plans import curation, summaries, survey
+from gridtrend.session import cut
 from gridtrend.sources.tables import zero_flags
 
 QUERIES, ORACLES = {}, {}
@@ -490,9 +491,8 @@ def dense_index(t: Tables) -> DataFrame:
     ),
 )
 def level_grid(t: Tables) -> DataFrame:
-    rows = t.curated()
-    names = ("year", "temperature_level", "functional_group")
-    return keys.level_grid(t.spark, {n: keys.distinct_levels(rows, n) for n in names})
+    names = ["year", "temperature_level", "functional_group"]
+    return keys.level_product(cut(t.curated().select(*names)), names)
 
 
 @query(

@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridtrend.functions.scalars import expit, label_order, logit, map_values
@@ -22,9 +20,12 @@ from gridtrend.models.design import (
     treatment_design,
     variables,
 )
-from gridtrend.models.grouped import square, upper_sums
+from gridtrend.models.grouped import ETA_LIMIT, square, upper_sums
+from gridtrend.models.sweep import swept
 from gridtrend.models.tails import chi_square_tail, f_tail
+from gridtrend.operators.keys import row_id, running_max
 from gridtrend.operators.reshape import stack
+from gridtrend.session import cut
 
 Z95 = 1.96
 
@@ -41,6 +42,7 @@ class Fit:
     df_residual: int
     cells: DataFrame = field(repr=False)
     variances: dict[str, float] = field(default_factory=dict)
+    used: np.ndarray | None = None
 
     @property
     def names(self) -> tuple[str, ...]:
@@ -51,49 +53,51 @@ class Fit:
         return np.sqrt(np.diag(self.vcov))
 
 
-def _coefficients(cells: DataFrame, design: Design) -> np.ndarray:
-    if len(design.columns) == 1:
-        row = cells.agg(F.expr("sum(wy) / sum(w) AS p")).first()
-        return np.array([math.log(row["p"] / (1.0 - row["p"]))])
-    features = F.expr(f"array({', '.join(design.columns[1:])})")
-    data = cells.select(
-        F.expr("wy / w AS label"), "w", array_to_vector(features).alias("features")
-    )
-    model = GeneralizedLinearRegression(
-        family="binomial", link="logit", weightCol="w", maxIter=50, tol=1e-12
-    ).fit(data)
-    return np.concatenate([[model.intercept], model.coefficients.toArray()])
-
+def fit_cells(
+    cells: DataFrame, design: Design, quasi: bool = False, max_iter: int = 50, tol: float = 1e-10
+) -> Fit:
+    """Fit on a collapsed table; the same table serves nested models.
 
-def fit_cells(cells: DataFrame, design: Design, quasi: bool = False) -> Fit:
-    """Fit on a collapsed table; the same table serves nested models."""
-    beta = _coefficients(cells, design)
+    Newton steps of one aggregation each; only p x p sums reach the driver. A column that
+    those before it determine does not enter: its coefficient and variance are 0 and it
+    counts no degree of freedom. Logs of mu and 1 - mu are on the scale of the predictor,
+    so neither vanishes when mu rounds to 0 or 1.
+    """
     size = len(design.columns)
     xs = [f"x{i}" for i in range(size)]
-    # Logs of mu and 1 - mu on the scale of the predictor: neither vanishes when mu
-    # rounds to 0 or 1. The Pearson term of such a cell is 0 where it fits exactly.
-    at_fit = (
-        cells.selectExpr("*", *[f"{c} AS {x}" for c, x in zip(design.columns, xs)])
-        .withColumn("eta", F.expr(design.linear(beta)))
-        .withColumn("mu", expit("eta"))
-        .withColumn("lp", F.expr("-(greatest(-eta, 0D) + log1p(exp(-abs(eta))))"))
-        .withColumn("lq", F.expr("-(greatest(eta, 0D) + log1p(exp(-abs(eta))))"))
-    )
-    totals = at_fit.agg(
-        F.expr(
-            "2 * sum(saturated - IF(wy = 0, 0D, wy * lp) - IF(w = wy, 0D, (w - wy) * lq)) AS deviance"
-        ),
-        F.expr(
-            "sum(coalesce((wyy - 2 * mu * wy + mu * mu * w) / nullif(mu * (1 - mu), 0D), 0D)) AS pearson"
-        ),
-        F.expr("sum(n_rows) AS n"),
-        F.expr(upper_sums(xs, "w * mu * (1 - mu)")).alias("information"),
-    ).first()
-    information = square(np.array(totals["information"]), size)
-    df_residual = int(totals["n"]) - size
-    dispersion = totals["pearson"] / df_residual if quasi else 1.0
-    vcov = np.linalg.pinv(information) * dispersion
-    return Fit(design, beta, vcov, dispersion, totals["deviance"], df_residual, cells)
+    data = cells.selectExpr("*", *[f"{c} AS {x}" for c, x in zip(design.columns, xs)])
+    share = data.agg(F.expr("(sum(wy) + 0.5) / (sum(w) + 1) AS p")).first()["p"]
+    beta, used, deviance = np.zeros(size), None, math.inf
+    beta[0] = math.log(share / (1.0 - share))
+    for _ in range(max_iter):
+        eta = " + ".join(f"({float(b)!r}D) * {x}" for b, x in zip(beta, xs))
+        at = (
+            data.withColumn("eta", F.expr(f"greatest(least({eta}, {ETA_LIMIT}D), -{ETA_LIMIT}D)"))
+            .withColumn("mu", F.expr("1 / (1 + exp(-eta))"))
+            .withColumn("lp", F.expr("-(greatest(-eta, 0D) + log1p(exp(-abs(eta))))"))
+            .withColumn("lq", F.expr("-(greatest(eta, 0D) + log1p(exp(-abs(eta))))"))
+        )
+        scores = ", ".join(f"sum((wy - w * mu) * {x})" for x in xs)
+        row = at.agg(
+            F.expr("2 * sum(saturated - wy * lp - (w - wy) * lq)").alias("deviance"),
+            F.expr("sum((wyy - 2 * mu * wy + mu * mu * w) / (mu * (1 - mu)))").alias("pearson"),
+            F.expr("sum(n_rows) AS n"),
+            F.expr(f"array({scores})").alias("score"),
+            F.expr(upper_sums(xs, "w * mu * (1 - mu)")).alias("information"),
+        ).first()
+        information = square(np.array(row["information"]), size)
+        used = swept(information)[1] if used is None else used
+        inverse, _ = swept(np.where(np.outer(used, used), information, 0.0))
+        beta = beta + inverse @ np.where(used, row["score"], 0.0)
+        done = abs(row["deviance"] - deviance) <= tol * (abs(row["deviance"]) + 0.1)
+        deviance = row["deviance"]
+        if done:
+            break
+    df_residual = int(row["n"]) - int(used.sum())
+    dispersion = 1.0
+    if quasi:
+        dispersion = row["pearson"] / df_residual if df_residual else math.nan
+    return Fit(design, beta, inverse * dispersion, dispersion, deviance, df_residual, cells, used=used)
 
 
 def fit_binomial(
@@ -127,7 +131,8 @@ def deviance_table(
     """Sequential analysis of deviance; ``steps`` adds terms in order.
 
     With ``quasi`` the F ratio uses the Pearson dispersion of the full model;
-    otherwise the dispersion is 1 and the tail is the chi-square one.
+    otherwise the dispersion is 1 and the tail is the chi-square one. A step that adds
+    no column that the earlier ones leave open has no ratio.
     """
     all_terms = [t for terms in steps.values() for t in terms]
     columns = variables(all_terms)
@@ -144,8 +149,8 @@ def deviance_table(
         before, after = fits[i - 1], fits[i]
         df1 = before.df_residual - after.df_residual
         drop = before.deviance - after.deviance
-        f = drop / df1 / phi
-        p = f_tail(f, df1, df2) if quasi else chi_square_tail(drop, df1)
+        f = drop / df1 / phi if df1 and phi > 0 else None
+        p = None if f is None else f_tail(f, df1, df2) if quasi else chi_square_tail(drop, df1)
         rows.append((i, name, df1, drop, after.df_residual, after.deviance, f, p))
     return spark.createDataFrame(
         rows,
@@ -290,15 +295,16 @@ def two_sided_p(z: Column | str) -> Column:
 
 
 def holm(df: DataFrame, p: str = "p_value", name: str = "p_holm") -> DataFrame:
-    """Holm step-down adjustment over a contrast table (one row per pair of levels)."""
-    ordered = Window.orderBy(F.col(p).asc(), "level_a", "level_b")
-    everything = Window.partitionBy()
-    step = (F.count(F.lit(1)).over(everything) - F.row_number().over(ordered) + 1) * F.col(p)
-    running = Window.orderBy(F.col(p).asc(), "level_a", "level_b").rowsBetween(
-        Window.unboundedPreceding, 0
+    """Holm step-down adjustment over a written contrast table (a row per pair of levels).
+
+    Rows are range-sorted by p once; a row's rank and the largest step before it come
+    from its place in its partition and from one row of sums for each partition.
+    """
+    steps = row_id(df, [p, "level_a", "level_b"], "__rank")
+    stepped = steps.withColumn(
+        "__step", F.least((F.lit(df.count() + 1) - F.col("__rank")) * F.col(p), F.lit(1.0))
     )
-    stepped = df.withColumn("__step", F.least(step, F.lit(1.0)))
-    return stepped.withColumn(name, F.max("__step").over(running)).drop("__step")
+    return running_max(stepped, "__rank", "__step", name).select(*df.columns, name)
 
 
 def contrasts(
@@ -306,24 +312,33 @@ def contrasts(
 ) -> DataFrame:
     """All pairwise level differences with z, two-sided p and Holm p.
 
-    Size is the number of factor levels squared, which is fixed by the model.
+    The covariances become a long table (a task writes the rows of some levels), whose
+    entries above the diagonal are the pairs; each meets the table of levels twice.
     """
-    rows = [
-        (
-            str(a),
-            str(b),
-            float(estimates[j] - estimates[i]),
-            float(math.sqrt(vcov[i, i] + vcov[j, j] - 2 * vcov[i, j])),
-        )
-        for i, a in enumerate(levels)
-        for j, b in enumerate(levels)
-        if i < j
-    ]
+    names = [str(v) for v in levels]
+    estimates, vcov = np.asarray(estimates, float), np.asarray(vcov, float)
+    size = len(names)
     table = spark.createDataFrame(
-        rows, "level_a string, level_b string, estimate double, se double"
+        [(i, n, float(e), float(v)) for i, (n, e, v) in enumerate(zip(names, estimates, np.diag(vcov)))],
+        "i int, level string, estimate double, variance double",
+    )
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in batch["id"]:
+                j = np.arange(i + 1, size)
+                yield pd.DataFrame({"i": np.full(len(j), i), "j": j, "covariance": vcov[i, i + 1 :]})
+
+    parts = max(1, min(size, 200, size * size // 50_000))
+    long = spark.range(0, size, 1, parts).mapInPandas(rows, "i int, j int, covariance double")
+    a = table.select("i", F.col("level").alias("level_a"), F.col("estimate").alias("ea"), F.col("variance").alias("va"))
+    b = table.select(F.col("i").alias("j"), F.col("level").alias("level_b"), F.col("estimate").alias("eb"), F.col("variance").alias("vb"))
+    scored = long.join(a, "i").join(b, "j").select(
+        "level_a", "level_b", (F.col("eb") - F.col("ea")).alias("estimate"),
+        F.expr("sqrt(va + vb - 2 * covariance)").alias("se"),
     )
-    scored = table.withColumn("z", F.col("estimate") / F.col("se"))
-    return holm(scored.withColumn("p_value", two_sided_p("z")))
+    scored = scored.withColumn("z", F.col("estimate") / F.col("se"))
+    return holm(cut(scored.withColumn("p_value", two_sided_p("z"))))
 
 
 def pairwise_contrasts(spark: SparkSession, fit: Fit, factor: str) -> DataFrame:
@@ -342,11 +357,12 @@ def coefficient_table(
     labels: Mapping[str, str] | None = None,
     order: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Slopes of one or more fits with +-1.96 SE, relabelled and stacked."""
+    """Slopes of one or more fits with +-1.96 SE, relabelled and stacked; a coefficient
+    that a fit could not tell from others is null."""
     tables = [
         spark.createDataFrame(
             [
-                (name, float(b), float(s))
+                (name, float(b), float(s)) if s > 0 else (name, None, None)
                 for name, b, s in zip(fit.names, fit.beta, fit.std_errors)
                 if name != "(Intercept)"
             ],

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridtrend.session import cut
-from gridtrend.models import conjugate, draws, glm, grouped, mixed, tails, zero_inflated
+from gridtrend.models import conjugate, draws, glm, gradients, grouped, mixed, response, sweep, tails, zero_inflated
 from gridtrend.operators.quantiles import exact_quantiles
 
 YEARS = [(2011, 1, 5), (2011, 3, 10), (2012, 6, 10), (2012, 2, 4), (2013, 1, 9), (2013, 0, 4)]
@@ -278,3 +278,235 @@ def test_simulated_counts_follow_the_binomial(spark):
     p = 1 / (1 + math.exp(-0.4))
     assert y.mean() == pytest.approx(10 * p, abs=0.1)
     assert y.var() == pytest.approx(10 * p * (1 - p), rel=0.1)
+
+
+# mixed models
+
+
+def dense(pdf, x, z, k, n, g, prior=0.0, steps=60):
+    """Penalised quasi-likelihood by one dense matrix; ``z`` are (columns, term number)."""
+    design, random = np.column_stack(x), np.column_stack([c for c, _ in z])
+    term = np.concatenate([np.full(c.shape[1], t) for c, t in z])
+    beta, u = np.zeros(design.shape[1]), np.zeros(random.shape[1])
+    p = len(beta)
+    beta[0] = math.log((k.sum() + 0.5) / (n.sum() - k.sum() + 0.5))
+    g = np.array(g, float)
+    for _ in range(steps):
+        eta = design @ beta + random @ u
+        mu = 1 / (1 + np.exp(-eta))
+        w = n * mu * (1 - mu)
+        whole = np.column_stack([design, random])
+        a = (whole * w[:, None]).T @ whole + np.diag(np.concatenate([np.full(p, prior), 1 / g[term]]))
+        c = np.linalg.inv(a)
+        s = c @ (whole.T @ (w * eta + k - n * mu))
+        beta, u = s[:p], s[p:]
+        d = np.diag(c)[p:]
+        g = np.array([
+            max((u[term == t] ** 2).sum() / ((term == t).sum() - d[term == t].sum() / g[t]), 1e-6)
+            for t in range(len(g))
+        ])
+    return beta, c[:p, :p], g
+
+
+def test_joint_covariance_equals_a_dense_solve(spark):
+    df, _, _ = counts(spark)
+    df = df.limit(3000)
+    df = cut(df)
+    pdf = df.toPandas()
+    terms = [mixed.Random("species"), mixed.Random("block")]
+    s, b = pd.get_dummies(pdf["species"]).to_numpy(float), pd.get_dummies(pdf["block"]).to_numpy(float)
+    x = pdf["x"].to_numpy()
+    beta, vcov, g = dense(pdf, [np.ones(3000), x], [(s, 0), (b, 1)], pdf["k"].to_numpy(float),
+                          pdf["n"].to_numpy(float), [1.0, 1.0])
+    found = []
+    for order in (terms, terms[::-1]):
+        fit = mixed.fit_mixed(df, "k", "n", ["x"], order, tol=1e-6)
+        assert fit.converged
+        assert np.allclose(fit.beta, beta, atol=1e-5) and np.allclose(fit.vcov, vcov, rtol=1e-3, atol=1e-8)
+        assert [fit.variances[r.name] for r in terms] == pytest.approx(g, rel=1e-3, abs=1e-5)
+        found.append(fit)
+    assert np.allclose(found[0].vcov, found[1].vcov, rtol=1e-9)
+    assert np.allclose(found[0].beta, found[1].beta, rtol=1e-9)
+
+
+def test_gradients_equal_the_dense_solve(spark):
+    """One solve on the tables, two crossed terms and a slope, against the solver in a task."""
+    df, _, _ = counts(spark)
+    terms = [mixed.Random("species", "x", intercept=True), mixed.Random("block")]
+    problem, _ = mixed._prepared(df.limit(1500), [], "k", "n", ["x"], terms, (), 0.001, False, False)
+    state = cut(mixed._start(problem))
+    problem.fits, problem.levels = 1, [100, 100]
+    sums = problem.sums(state, False)
+    one = mixed._Sums(sums.toPandas(), problem.groups, problem.layout, False)
+    want = one.solved([1.0, 0.0, 0.0, 1.0, 1.0], 0.001)
+    fits = state.filter("h = -1").select("f0", "beta", "g", "tau", "pi", "iterations", "converged")
+    got = cut(gradients.solved(problem, sums, fits, 1e-3))
+    fit = got.filter("h = -1").first()
+    assert np.allclose(fit["beta"], want["beta"], atol=1e-7)
+    assert np.allclose(np.reshape(fit["vcov"], (2, 2)), want["vcov"], rtol=1e-6)
+    for h, (table, name) in enumerate(zip(one.tables, problem.groups)):
+        u = {r[name]: r["u"] for r in got.filter(f"h = {h}").collect()}
+        for i, level in enumerate(table[name]):
+            assert np.allclose(u[level], want["u"][one.at[h][i]], atol=1e-7)
+    exact = mixed.updated(np.eye(1), np.array([[float(want["u"][one.at[1]].ravel() @ want["u"][one.at[1]].ravel())]]),
+                          one.spread(want, 1).sum(axis=0), len(one.tables[1]))
+    assert fit["g"][4] == pytest.approx(exact[0, 0], rel=0.05)  # a trace by random vectors
+
+
+def test_correlated_intercept_and_slope(spark):
+    rng = np.random.default_rng(5)
+    size, groups = 6000, 120
+    cov = np.array([[0.6, -0.25], [-0.25, 0.3]])
+    effect = rng.multivariate_normal([0, 0], cov, groups)
+    g, x, n = rng.integers(0, groups, size), rng.normal(size=size).round(2), rng.integers(5, 20, size)
+    k = rng.binomial(n, 1 / (1 + np.exp(-(0.3 + 0.5 * x + effect[g, 0] + effect[g, 1] * x))))
+    df = spark.createDataFrame(pd.DataFrame({"g": g, "x": x, "k": k, "n": n}))
+    term = mixed.Random("g", "x", intercept=True)
+    fit = mixed.fit_mixed(df, "k", "n", ["x"], [term])
+    seen = np.cov(effect.T)
+    assert fit.converged and fit.beta[1] == pytest.approx(0.5, abs=0.15)
+    assert fit.variances["g"] == pytest.approx(seen[0, 0], rel=0.15)
+    assert fit.variances["x|g"] == pytest.approx(seen[1, 1], rel=0.15)
+    assert fit.correlations[term.name] == pytest.approx(seen[0, 1] / math.sqrt(seen[0, 0] * seen[1, 1]), abs=0.08)
+    got = {r["g"]: (r["effect_intercept"], r["effect_slope"]) for r in fit.effects[term.name].collect()}
+    assert np.corrcoef([got[i][1] for i in range(groups)], effect[:, 1])[0, 1] > 0.9
+    alone = mixed.fit_mixed(df, "k", "n", ["x"], [mixed.Random("g"), mixed.Random("g", "x")])
+    assert alone.variances["g"] == pytest.approx(fit.variances["g"], rel=0.1) and not alone.correlations
+
+
+def test_many_mixed_fits_equal_separate_ones(spark):
+    df = cut(counts(spark)[0].withColumn("part", F.expr("CASE WHEN block < 12 THEN 'a' WHEN block < 24 THEN 'b' ELSE 'c' END")))
+    terms = [mixed.Random("species"), mixed.Random("block")]
+    many = mixed.fit_mixed_by(df, ["part"], "k", "n", ["x"], terms, tol=1e-5)
+    got = {(r["part"], r["term"]): (r["estimate"], r["std_error"]) for r in many.coefficients.collect()}
+    variances = {(r["part"], r["part_"]): r["value"] for r in many.variances.toDF("part", "part_", "value").collect()}
+    assert len(got) == 6
+    for part in ("a", "c"):
+        one = mixed.fit_mixed(df.filter(F.col("part") == part), "k", "n", ["x"], terms, tol=1e-5)
+        for name, b, s in zip(one.names, one.beta, one.std_errors):
+            assert got[part, name] == pytest.approx((b, s), rel=1e-6)
+        assert variances[part, "species"] == pytest.approx(one.variances["species"], rel=1e-6)
+
+
+def test_columns_that_others_determine_are_left_out(spark):
+    df = counts(spark)[0].withColumns({"twice": F.col("x") * 2, "part": F.when(F.col("block") < 9, "a").otherwise("b")})
+    df = df.withColumn("own", F.when(F.col("part") == "a", F.lit(0.0)).otherwise(F.col("n") * 1.0))
+    fits = mixed.fit_mixed_by(df, ["part"], "k", "n", ["x", "twice", "own"], [mixed.Random("species")])
+    got = {(r["part"], r["term"]): r["estimate"] for r in fits.coefficients.collect()}
+    assert got["a", "twice"] is None and got["a", "own"] is None and got["b", "own"] is not None
+    assert got["a", "x"] == pytest.approx(0.6, abs=0.06)
+
+
+def simulated(size=6000, tau=0.0, inclusion=1.0, seed=11):
+    rng = np.random.default_rng(seed)
+    species, x, n = rng.integers(0, 60, size), rng.normal(size=size).round(1), rng.integers(6, 26, size)
+    a, b = rng.normal(0, 0.6, 60), rng.normal(0, 0.4, 60)
+    eta = -0.4 + 0.5 * x + a[species] + b[species] * x + tau * rng.normal(size=size)
+    k = rng.binomial(n, 1 / (1 + np.exp(-eta))) * (rng.random(size) < inclusion)
+    return pd.DataFrame({"species": species, "x": x, "k": k, "n": n}), a, b
+
+
+def test_overdispersion_against_quadrature(spark):
+    """Without groups that matter, the row effect's deviation maximises the likelihood
+    that a fine grid integrates."""
+    pdf, _, _ = simulated(tau=0.7, size=4000)
+    pdf["species"] = 0  # one group, whose variance falls to nothing
+    df = spark.createDataFrame(pdf)
+    fit = mixed.fit_mixed(df, "k", "n", ["x"], [mixed.Random("species")], overdispersed=True, tol=1e-5)
+    assert fit.converged
+    z = np.linspace(-6, 6, 301)
+    weight = np.exp(-z * z / 2) / np.exp(-z * z / 2).sum()
+    k, n, x = (pdf[c].to_numpy(float)[:, None] for c in ("k", "n", "x"))
+    choose = np.array([math.lgamma(b + 1) - math.lgamma(a + 1) - math.lgamma(b - a + 1) for a, b in zip(pdf["k"], pdf["n"])])
+
+    def ll(b0, b1, tau):
+        eta = b0 + b1 * x + tau * z
+        terms = choose[:, None] - k * np.log1p(np.exp(-eta)) - (n - k) * np.log1p(np.exp(eta))
+        return np.log(np.exp(terms) @ weight).sum()
+
+    u = fit.effects["species"].first()["effect"]
+    at, h = np.array([fit.beta[0] + u, fit.beta[1], fit.overdispersion]), 1e-3
+    gradient = [(ll(*(at + h * e)) - ll(*(at - h * e))) / (2 * h) for e in np.eye(3)]
+    curve = [(ll(*(at + h * e)) - 2 * ll(*at) + ll(*(at - h * e))) / h**2 for e in np.eye(3)]
+    assert all(abs(g / c) < 2e-3 for g, c in zip(gradient, curve))  # within a Newton step of the maximum
+    assert fit.overdispersion > 0.7
+
+
+def test_zero_inflated_hierarchy_recovers(spark):
+    pdf, a, b = simulated(tau=0.5, inclusion=0.75)
+    fit = mixed.fit_mixed(spark.createDataFrame(pdf), "k", "n", ["x"], [mixed.Random("species"), mixed.Random("species", "x")],
+                          overdispersed=True, zero_inflated=True)
+    assert fit.converged and fit.inclusion == pytest.approx(0.75, abs=0.03)
+    assert fit.beta[1] == pytest.approx(0.5 + b.mean(), abs=0.12)
+    assert fit.variances["species"] == pytest.approx(a.var(), rel=0.3)
+    assert fit.variances["x|species"] == pytest.approx(b.var(), rel=0.35)
+    assert fit.overdispersion == pytest.approx(0.5, abs=0.1)
+
+
+def test_terms_of_a_row_are_derivatives(spark):
+    """Scores and curvatures of an overdispersed, zero-inflated row against differences."""
+    rows = [(k, n, eta, tau, pi) for k, n in ((0, 4), (3, 9), (7, 7)) for eta in (-1.5, 0.4) for tau, pi in ((0.6, 0.7), (1.2, 0.95))]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in rows], "k double, n double, eta double, tau double, pi double")
+    at = response.with_terms(df.withColumn("m", F.lit(1.0)), True, True).orderBy("k", "eta", "tau").collect()
+    z, w = response.nodes()
+
+    def ll(k, n, eta, tau, pi):
+        p = 1 / (1 + np.exp(-(eta + tau * z)))
+        like = (w * p**k * (1 - p) ** (n - k)).sum()
+        return math.log((1 - pi) * (k == 0) + pi * like)
+
+    h = 1e-4
+    for r in at:
+        v = (r["k"], r["n"], r["eta"], r["tau"], r["pi"])
+        step = lambda i, d: tuple(x + d * (j == i) for j, x in enumerate(v))
+        first = lambda i: (ll(*step(i, h)) - ll(*step(i, -h))) / (2 * h)
+        second = lambda i: (ll(*step(i, h)) - 2 * ll(*v) + ll(*step(i, -h))) / h**2
+        assert r["score"] == pytest.approx(first(2), abs=1e-5)
+        assert r["observed"] == pytest.approx(-second(2), abs=1e-4)
+        assert r["tau_1"] == pytest.approx(first(3), abs=1e-5)
+        assert r["pi_pi"] == pytest.approx(-second(4), abs=1e-3)
+        corner = [ll(v[0], v[1], v[2] + a * h, v[3], v[4] + b * h) for a, b in ((1, 1), (1, -1), (-1, 1), (-1, -1))]
+        assert r["eta_pi"] == pytest.approx(-(corner[0] - corner[1] - corner[2] + corner[3]) / (4 * h * h), abs=1e-3)
+        assert r["curve"] >= 0
+
+
+def test_sweep_leaves_out_what_is_determined():
+    x = np.random.default_rng(0).normal(size=(50, 5))
+    x[:, 3] = x[:, 0] + 2 * x[:, 1]
+    a = np.column_stack([x, np.zeros(50)])
+    inverse, used = sweep.swept(a.T @ a)
+    assert used.tolist() == [True, True, True, False, True, False]
+    kept = a[:, used]
+    assert np.allclose(inverse[np.ix_(used, used)], np.linalg.inv(kept.T @ kept))
+
+
+def test_deviance_by_group_equals_single_tables(spark):
+    df = counts(spark)[0].withColumns({"g": F.when(F.col("block") < 10, "a").otherwise("b"), "level": F.col("block") % 3})
+    steps = {"x": ["x"], "level": ["level"], "both": ["x:level"]}
+    for quasi in (False, True):
+        many = grouped.deviance_by_group(df, "g", "p", steps, ["level"], "n", quasi)
+        for g in ("a", "b"):
+            one = glm.deviance_table(spark, df.filter(F.col("g") == g), "p", steps, ["level"], "n", quasi).orderBy("step").collect()
+            for r, q in zip(many.filter(F.col("g") == g).orderBy("step").collect(), one):
+                assert (r["term"], r["df"], r["resid_df"]) == (q["term"], q["df"], q["resid_df"])
+                for c in ("deviance", "resid_dev", "f", "p"):
+                    assert r[c] == (None if q[c] is None else pytest.approx(q[c], rel=1e-6, abs=1e-8))
+
+
+def test_contrasts_of_two_thousand_levels(spark):
+    size = 2_000
+    rng = np.random.default_rng(4)
+    estimates, half = rng.normal(size=size), rng.normal(size=(size, 3))
+    vcov = half @ half.T + np.eye(size)
+    table = cut(glm.contrasts(spark, [f"{i:04d}" for i in range(size)], estimates, vcov))
+    assert table.count() == size * (size - 1) // 2
+    some = table.filter("level_a = '0003' AND level_b < '0050'").collect()
+    for r in some:
+        b = int(r["level_b"])
+        assert r["z"] == pytest.approx((estimates[b] - estimates[3]) / math.sqrt(vcov[3, 3] + vcov[b, b] - 2 * vcov[3, b]))
+    pdf = table.select("level_a", "level_b", "p_value", "p_holm").toPandas().sort_values(["p_value", "level_a", "level_b"])
+    m = len(pdf)
+    want = np.maximum.accumulate(np.minimum((m - np.arange(m)) * pdf["p_value"].to_numpy(), 1.0))
+    assert np.allclose(pdf["p_holm"], want)
+    plan = glm.holm(table.drop("p_holm"))._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan.split("Window")[0]
