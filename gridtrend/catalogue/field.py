@@ -347,12 +347,14 @@ CHOSEN = {
            temperature_level AS temperature_order, precipitation_level AS prec_order
            FROM (SELECT * FROM curated
              WHERE species IN ('Brand#2|ECONOMY', 'Brand#17|ECONOMY', 'Brand#4|SMALL')
-             QUALIFY count(*) OVER (PARTITION BY year, species, site_id) > 0)
+             QUALIFY count(*) OVER (PARTITION BY year, species, functional_group) > 2)
            GROUP BY year, temperature_level, precipitation_level, species"""
     ),
 )
 def single_species_grid(t: Tables) -> DataFrame:
-    out = summaries.single_species(t.curated(), CHOSEN, 0, TEMPERATURE)
+    # the test tables have two turfs a site at most: a species' rows of a year are one site here
+    rows = t.curated().withColumn("site_id", F.col("functional_group"))
+    out = summaries.single_species(rows, CHOSEN, 2, TEMPERATURE)
     return rounded(out, 8, "mean", "se")
 
 
@@ -428,13 +430,14 @@ def treatment_points(t: Tables) -> DataFrame:
         """SELECT turf_id, species, year, functional_group, precipitation_level,
            round(1.23e-7 + mean_summer_temp, 4) AS mean_summer_temp, round(1.23e-11 + prop_fertile, 8) AS prop_fertile,
            n_panel_years, n_plots, make_date(year, 1, 1) AS year_start FROM (
-             SELECT *, count(*) OVER (PARTITION BY site_id, species, year) AS n_plots FROM (
+             SELECT *, count(*) OVER (PARTITION BY temperature_level, species, year) AS n_plots FROM (
                SELECT *, count(*) OVER (PARTITION BY turf_id, species) AS n_panel_years FROM curated)
-             WHERE n_panel_years > 2) WHERE n_plots > 0"""
+             WHERE n_panel_years > 2) WHERE n_plots > 1"""
     ),
 )
 def panel_points(t: Tables) -> DataFrame:
-    out = summaries.panel_points(t.curated(), 3, 0)
+    rows = t.curated().withColumn("site_id", F.col("temperature_level"))
+    out = summaries.panel_points(rows, 3, 1)
     return out.select(
         "turf_id", "species", "year", "functional_group", "precipitation_level",
         rnd("mean_summer_temp", 4), rnd("prop_fertile", 8), "n_panel_years", "n_plots", "year_start",

@@ -548,15 +548,17 @@ THREE_TERMS = [
         ),
         LEVELS,
         _pql_rows(_THREE_XS, {"site_id": "1"}),
-        solving.mixed("rows_", 1),
+        solving.mixed("rows_", 1, prior=0.01),
     ),
 )
 def group_mixed_response(t: Tables) -> DataFrame:
-    """Fixed-effect predictions by year, group and temperature level, sites being random."""
+    """Fixed-effect predictions by year, group and temperature level, sites being random. A
+    weak prior keeps combinations whose rows are all at 0 or 1 finite."""
     columns = ["year", "functional_group", "temperature_level"]
     rows = cut(t.curated().select(*columns, "site_id", "sum_fertile", "n_occurrence"))
     fit = mixed.fit_mixed(
-        rows, "sum_fertile", "n_occurrence", THREE_TERMS, [mixed.Random("site_id")], columns, tol=MIXED_TOL,
+        rows, "sum_fertile", "n_occurrence", THREE_TERMS, [mixed.Random("site_id")], columns,
+        prior_precision=0.01, tol=MIXED_TOL,
     )
     predicted = glm.predict_grid(level_product(rows, columns), fit)
     out = glm.average_response(predicted, columns, ["response", "plo", "phi"])

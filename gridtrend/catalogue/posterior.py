@@ -225,7 +225,7 @@ def predictive_counts(t: Tables) -> DataFrame:
     ),
 )
 def predictive_median(t: Tables) -> DataFrame:
-    return draws.predictive_median(_simulated(t), ROW_KEYS)
+    return draws.histogram_median(draws.predictive_histograms(_predicted(t), ROW_KEYS, "n", seed=1), ROW_KEYS)
 
 
 BOUNDS = """bounds AS (

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from gridtrend.bindings import Tables
 from gridtrend.catalogue.common import rounded
 from gridtrend.catalogue.ctes import with_climate
 from gridtrend.plans import climate, summaries
+from gridtrend.session import scratch_path
+from gridtrend.sources.tables import read_daily_climate, read_table, write_csv, write_table
 
 QUERIES, ORACLES = {}, {}
 
@@ -22,6 +25,42 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query(
+    "daily_text_round_trip",
+    with_climate(
+        """SELECT 'Site, "' || nation || '"' AS site, date, CASE WHEN day(date) <> 13 THEN rain END AS precipitation,
+             heat AS temperature FROM daily"""
+    ),
+)
+def daily_text_round_trip(t: Tables) -> DataFrame:
+    """The daily table written as typed text and read again: separators and quotes in a
+    field, nulls as "NA"."""
+    rows = t.daily().select(
+        F.concat(F.lit('Site, "'), "site", F.lit('"')).alias("site"), "date",
+        F.when(F.dayofmonth("date") != 13, F.col("precipitation")).alias("precipitation"), "temperature",
+    )
+    path = scratch_path(t.spark)
+    write_csv(rows, path)
+    return read_daily_climate(t.spark, path, "raise")
+
+
+@query(
+    "site_table_round_trip",
+    with_climate(
+        "SELECT site_id, temperature_level, precipitation_level, round(1.23e-7 + summer_temperature_gridded, 4)"
+        " AS summer_temperature FROM sites"
+    ),
+)
+def site_table_round_trip(t: Tables) -> DataFrame:
+    """Sites written in partitions by level, and one column set read back with its schema."""
+    path = scratch_path(t.spark)
+    write_table(t.sites(), path, ["temperature_level"])
+    schema = "site_id string, summer_temperature_gridded double, precipitation_level bigint, temperature_level bigint"
+    columns = ["site_id", "temperature_level", "precipitation_level", "summer_temperature_gridded"]
+    out = read_table(t.spark, path, columns, schema)
+    return rounded(out.withColumnRenamed("summer_temperature_gridded", "summer_temperature"), 4, "summer_temperature")
+
+
 MONTHLY_SQL = with_climate(
     "SELECT date, nation::VARCHAR AS site, 'temperature' AS logger, round(1.23e-7 + temperature, 4) AS value"
     " FROM monthly UNION ALL SELECT date, nation::VARCHAR, 'precipitation',"

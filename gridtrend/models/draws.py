@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
 
-from gridtrend.functions.scalars import hashed_uniform, label_order, log_choose, map_values
+from gridtrend.functions.scalars import hashed_uniform, label_order, log_choose, map_values, uniform_of
 from gridtrend.operators.keys import row_id
 from gridtrend.operators.quantiles import exact_quantiles
 from gridtrend.operators.reshape import melt, pivot_unique, stack
@@ -262,6 +265,76 @@ def predictive_counts(
     ).drop("__row", "__u", "__steps")
 
 
+def binomial_counts(p: np.ndarray, u: np.ndarray, n: int) -> np.ndarray:
+    """Counts by inverse CDF, as ``predictive_counts`` draws them, for many draws of a row
+    at once: the number of values below n whose CDF is at most u."""
+    turned = p > 0.5
+    small, large = np.where(turned, 1 - p, p), np.where(turned, p, 1 - p)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        odds = np.log(small / large)
+        j = np.arange(1, n + 1)
+        choose = np.concatenate([[0.0], np.cumsum(np.log((n - j + 1) / j))[:-1]])
+        log_terms = n * np.log1p(-small)[:, None] + choose + np.arange(n) * odds[:, None]
+        cdf = np.cumsum(np.exp(log_terms), axis=1)
+    passed = np.where(turned[:, None], cdf < 1 - u[:, None], cdf <= u[:, None]).sum(axis=1)
+    counts = np.where(turned, n - passed, passed)
+    return np.where(p <= 0, 0, np.where(p >= 1, n, counts))
+
+
+def predictive_histograms(
+    predicted: DataFrame, keys: Sequence[str], trials: str, seed: int = 1
+) -> DataFrame:
+    """(keys, y, c): how many draws give a row the count ``y``; the counts are those of
+    ``predictive_counts``. Blocks add up, so no draw leaves its task. A row without trials
+    or with a null in its predictor has one row with a null ``y`` and ``c`` 0, or all its
+    draws at 0 where its trials are 0."""
+    row_part = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
+    narrow = predicted.select(
+        *keys, row_part.alias("__row"), F.expr(f"CAST({trials} AS INT)").alias("__n"),
+        F.expr("transform(draws, d -> CAST(d.draw AS STRING))").alias("__draw"), "p",
+    )
+    schema = StructType([*narrow.select(*keys).schema.fields]).add("y", IntegerType()).add("c", LongType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            where, ys, cs = [], [], []
+            columns = (batch[c].to_pylist() for c in ("__row", "__n", "__draw", "p"))
+            for i, (row, n, draw, p) in enumerate(zip(*columns)):
+                if n is None or p is None or None in p:
+                    found = [(None, 0)]
+                elif n < 1:
+                    found = [(0, len(p))]
+                else:
+                    u = np.array([uniform_of(row, d) for d in draw])
+                    counts = np.bincount(binomial_counts(np.array(p), u, n), minlength=1)
+                    found = [(int(y), int(counts[y])) for y in np.flatnonzero(counts)]
+                where += [i] * len(found)
+                ys += [y for y, _ in found]
+                cs += [c for _, c in found]
+            taken = batch.select(list(keys)).take(pa.array(where, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*taken.columns, pa.array(ys, pa.int32()), pa.array(cs, pa.int64())], [*keys, "y", "c"]
+            )
+
+    found = narrow.mapInArrow(run, schema)
+    return found.groupBy(*keys, "y").agg(F.sum("c").alias("c"))
+
+
+def histogram_median(histograms: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, median) of the counts; a row has at most one entry for each count it can
+    have, so a group is bounded by its trials."""
+    entries = histograms.groupBy(*keys).agg(
+        F.sum("c").alias("__all"), F.sort_array(F.collect_list(F.struct("y", "c"))).alias("__h")
+    )
+    place = (
+        "aggregate(filter(__h, x -> x.y IS NOT NULL), named_struct('seen', 0L, 'at', CAST(NULL AS INT)),"
+        " (s, x) -> named_struct('seen', s.seen + x.c, 'at',"
+        " IF(s.at IS NULL AND s.seen + x.c >= {k}, x.y, s.at)), s -> s.at)"
+    )
+    low, high = place.format(k="(__all + 1) div 2"), place.format(k="__all div 2 + 1")
+    return entries.select(*keys, F.expr(f"({low} + {high}) / 2D").alias("median"))
+
+
 def gather_blocks(
     predicted: DataFrame, keys: Sequence[str], arrays: Sequence[str], blocks: int | None = None
 ) -> DataFrame:

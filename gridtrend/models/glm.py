@@ -160,7 +160,9 @@ def deviance_table(
 
 
 def quadratic_form(vcov: np.ndarray, x: Column) -> Column:
-    """Square root of x'Vx for an array column."""
+    """Square root of x'Vx for an array column; columns that are not in a fit (null
+    variance) add nothing."""
+    vcov = np.nan_to_num(vcov)
 
     @F.pandas_udf("double")
     def se(v: pd.Series) -> pd.Series:

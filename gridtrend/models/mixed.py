@@ -42,6 +42,9 @@ from gridtrend.session import cut
 #: Random effects of one fit up to which a task solves it, variance steps of a pass, and
 #: the least variance (a term cannot come back from 0).
 DENSE, INNER, LEAST_VARIANCE = 1_500, 60, 1e-6
+#: Products of columns up to which they are summed column by column; beyond, only those of
+#: columns that are not 0 in a row, as rows.
+WIDE = 300
 #: Share of a term's levels that has to be free for its variance to be told.
 UNTOLD = 1e-6
 
@@ -194,13 +197,17 @@ class _Problem:
         together += [[*keys, a, b] for a, b in combinations(self.groups, 2)]
         every = at.select(*keys, *self.groups, *columns, "m", "member", "tau_1", "tau_2", "pi_pi",
                           F.expr(weight).alias("w"), F.expr(right).alias("r"))
-        summed = every.groupingSets([[F.col(c) for c in s] for s in together], *keys, *self.groups).agg(
-            F.expr(upper_sums(columns, "w")).alias("a"),
-            F.expr(f"array({', '.join(f'sum({c} * r)' for c in columns)})").alias("b"),
-            F.expr("array(sum(m), sum(member), sum(tau_1), sum(tau_2), sum(pi_pi))").alias("totals"),
-            F.count(F.lit(1)).alias("rows"),
-        )
-        written, size = cut(summed), p + q
+        size = p + q
+        if size * (size + 1) // 2 <= WIDE:
+            summed = every.groupingSets([[F.col(c) for c in s] for s in together], *keys, *self.groups).agg(
+                F.expr(upper_sums(columns, "w")).alias("a"),
+                F.expr(f"array({', '.join(f'sum({c} * r)' for c in columns)})").alias("b"),
+                F.expr("array(sum(m), sum(member), sum(tau_1), sum(tau_2), sum(pi_pi))").alias("totals"),
+                F.count(F.lit(1)).alias("rows"),
+            )
+        else:
+            summed = self._sparse(every, columns, together)
+        written = cut(summed)
 
         def picked(places: list[int], of: str = "a"):
             return F.expr(f"transform(array({', '.join(map(str, places))}), i -> {of}[i])")
@@ -225,6 +232,38 @@ class _Problem:
         return written.select(*keys, *self.groups, "rows", v.alias("v"))
 
 
+    def _sparse(self, every: DataFrame, columns: list[str], together: list[list[str]]) -> DataFrame:
+        """The same sums where most products are 0 (levels of factors): a row becomes one
+        entry for each product that is not, and entries add up by their place."""
+        size = len(columns)
+        pairs, keys = size * (size + 1) // 2, [*self.keys, *self.groups]
+        others = ["m", "member", "tau_1", "tau_2", "pi_pi", "1D"]
+        entries = F.expr(f"""flatten(array(
+            flatten(transform(nz, x -> transform(filter(nz, y -> y.i >= x.i), y -> named_struct(
+              'place', x.i * {size} - x.i * (x.i - 1) div 2 + y.i - x.i, 's', w * x.v * y.v)))),
+            transform(nz, x -> named_struct('place', CAST({pairs} + x.i AS BIGINT), 's', r * x.v)),
+            array({', '.join(f"named_struct('place', {pairs + size + i}L, 's', {o})" for i, o in enumerate(others))})))""")
+        held = F.expr(
+            f"filter(transform(array({', '.join(columns)}), (v, i) -> named_struct('i', CAST(i AS BIGINT), 'v', v)), x -> x.v <> 0)"
+        )
+        long = every.withColumn("nz", held).select(*keys, F.explode(entries).alias("e")).select(*keys, "e.place", "e.s")
+        by_place = long.groupingSets([[F.col(c) for c in (*s, "place")] for s in together], *keys, "place").agg(
+            F.sum("s").alias("s")
+        )
+        whole = by_place.groupBy(*keys).agg(
+            F.map_from_entries(F.collect_list(F.struct("place", "s"))).alias("of")  # as many as there are products
+        )
+
+        def part(first: int, n: int) -> str:
+            return f"transform(sequence({first}L, {first + n - 1}L), i -> coalesce(of[i], 0D))"
+
+        return whole.select(
+            *keys, F.expr(part(0, pairs)).alias("a"), F.expr(part(pairs, size)).alias("b"),
+            F.expr(part(pairs + size, 5)).alias("totals"),
+            F.expr(f"CAST(of[{pairs + size + 5}L] AS BIGINT)").alias("rows"),
+        )
+
+
 class _Sums:
     """The sums of one fit, assembled: products and right hand sides."""
 

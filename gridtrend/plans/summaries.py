@@ -90,22 +90,15 @@ def space_time(df: DataFrame, response: str, climate: str) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Exact distinct counts, one row.
+    """Exact distinct counts, one row, from one pass over the input.
 
-    Every column is counted by its own two-step aggregation, so no task sees
-    the whole set of values.
+    Grouping sets, one for each column, give its distinct values; a second aggregation
+    counts the rows of each set. No task sees the whole set of values.
     """
-    parts = [
-        df.filter(F.col(c).isNotNull())
-        .groupBy(c)
-        .agg(F.lit(1).alias("one"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.lit(c).alias("name"), "n")
-        for c in columns
-    ]
-    return stack(*parts).groupBy().agg(
-        *[F.max(F.when(F.col("name") == c, F.col("n"))).alias(f"n_{c}") for c in columns]
-    )
+    named = [f"__c{i}" for i in range(len(columns))]
+    plain = df.select(*[F.col(c).alias(n) for c, n in zip(columns, named)])
+    seen = plain.groupingSets([[F.col(n)] for n in named], *named).agg(F.count(F.lit(1)).alias("__rows"))
+    return seen.agg(*[F.count(n).alias(f"n_{c}") for c, n in zip(columns, named)])
 
 
 def turf_series(fertile: DataFrame, min_rows: int = 2) -> DataFrame:

@@ -35,8 +35,26 @@ def read_relation(
     )
 
 
-def read_daily_climate(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(DAILY_CLIMATE).csv(path, header=True, nullValue="NA")
+#: What becomes of a row whose fields do not have the types of the schema: its bad fields
+#: are null, the row goes, or reading fails.
+DAMAGED = {"null": "PERMISSIVE", "drop": "DROPMALFORMED", "raise": "FAILFAST"}
+
+
+def read_csv(spark: SparkSession, path: str, schema: StructType | str, damaged: str = "null") -> DataFrame:
+    """Typed text with a header line; "NA" and empty fields are null, a field in quotes may
+    hold separators, and doubled quotes."""
+    return spark.read.schema(schema).csv(
+        path, header=True, nullValue="NA", quote='"', escape='"', mode=DAMAGED[damaged]
+    )
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """Text that ``read_csv`` reads back: nulls as "NA", quotes doubled."""
+    df.write.mode("overwrite").csv(path, header=True, nullValue="NA", quote='"', escape='"')
+
+
+def read_daily_climate(spark: SparkSession, path: str, damaged: str = "null") -> DataFrame:
+    return read_csv(spark, path, DAILY_CLIMATE, damaged)
 
 
 def zero_flags(df: DataFrame, flags: Sequence[str]) -> DataFrame:

@@ -10,6 +10,6 @@ from gridtrend.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, "8g")
+    session = local_session(int(os.environ.get("TEST_CPUS", "4")), "8g")
     yield session
     session.stop()

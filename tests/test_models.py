@@ -510,3 +510,35 @@ def test_contrasts_of_two_thousand_levels(spark):
     assert np.allclose(pdf["p_holm"], want)
     plan = glm.holm(table.drop("p_holm"))._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan.split("Window")[0]
+
+
+def test_sparse_sums_equal_dense_ones(spark, monkeypatch):
+    df = counts(spark)[0].withColumn("level", F.col("block") % 7)
+    terms, random = ["level", "x", "level:x"], [mixed.Random("species"), mixed.Random("block")]
+    found = []
+    for wide in (10_000, 0):
+        monkeypatch.setattr(mixed, "WIDE", wide)
+        found.append(mixed.fit_mixed(df, "k", "n", terms, random, ["level"], max_iter=2))
+    assert np.allclose(found[0].beta, found[1].beta, atol=1e-10)
+    assert np.allclose(found[0].vcov, found[1].vcov, rtol=1e-8, atol=1e-12)
+
+
+def test_histograms_have_the_counts_of_the_arrays(spark):
+    """Medians over 900 draws, in one block and in many, against the draws themselves."""
+    wide = spark.range(900).selectExpr("0 AS chain", "id AS iter", "id / 150.0D - 3 AS a")
+    rows = spark.createDataFrame([(i, n, 0.3 * i - 1) for i, n in enumerate([0, 1, 2, 5, 25, 400, 3000])], "id int, n int, x double")
+    want = None
+    for size in (2000, 100):
+        blocks = draws.draw_blocks(wide, ["a"], size)
+        predicted = cut(draws.predict_draws(rows, blocks, "d.a + x"))
+        arrays = draws.predictive_counts(predicted, ["id"], "n", seed=5)
+        held = draws.predictive_histograms(predicted, ["id"], "n", seed=5)
+        long = draws.long_predictions(arrays, ["id"], ["y_sim"]).groupBy("id", F.col("y_sim").alias("y")).count()
+        assert sorted(map(tuple, held.collect())) == sorted(map(tuple, long.collect()))
+        got = sorted(map(tuple, draws.histogram_median(held, ["id"]).collect()))
+        assert got == sorted(map(tuple, draws.predictive_median(arrays, ["id"]).collect()))
+        assert want is None or got == want
+        want = got
+    nothing = rows.limit(1).select("id", F.lit(3).alias("n"), F.lit(None).cast("double").alias("x"))
+    held = draws.predictive_histograms(draws.predict_draws(nothing, blocks, "d.a + x"), ["id"], "n")
+    assert [tuple(r) for r in draws.histogram_median(held, ["id"]).collect()] == [(0, None)]

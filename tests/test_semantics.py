@@ -10,6 +10,7 @@ from gridtrend.functions import nulls, scalars
 from gridtrend.functions.labels import SITE_LEVELS, SITE_NAMES
 from gridtrend.operators import groups, keys, reshape, timeline
 from gridtrend.plans import climate, summaries, survey
+from gridtrend.sources import tables
 
 
 def one(df):
@@ -197,3 +198,35 @@ def test_season_and_zone(spark):
     out = survey.season_and_zone(spark.createDataFrame(rows))
     assert column(out, "zone", "i") == ["alpine", "lowland", "general"]
     assert column(out, "season", "i") == ["early", "late", "none"]
+
+
+def test_level_product_and_running_max(spark):
+    rows = [(y, lv, g) for y in (2009, 2011) for lv in ("a", "b", None) for g in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "year int, level string, g int")
+    got = sorted(map(tuple, keys.level_product(df, ["year", "level", "g"]).collect()))
+    assert got == [(y, lv, g) for y in (2009, 2011) for lv in ("a", "b") for g in (1, 2, 3)]
+    assert keys.level_product(df.filter("year > 3000"), ["year", "g"]).collect() == []
+    values = [(i, (i * 7919) % 1009) for i in range(3000)]
+    out = keys.running_max(spark.createDataFrame(values, "i int, v int").repartition(9), "i", "v", "top").orderBy("i").collect()
+    top = 0
+    for r, (_, v) in zip(out, values):
+        top = max(top, v)
+        assert r["top"] == top
+
+
+def test_damaged_text_rows(spark, tmp_path):
+    path = tmp_path / "daily.csv"
+    path.write_text('site,date,precipitation,temperature\n"A, ""b""",2010-06-01,1.5,NA\nUlv,2010-06-02,wet,3\nUlv,NA,,4\n')
+    kept = [tuple(r) for r in tables.read_daily_climate(spark, str(path)).collect()]
+    assert kept[0][0] == 'A, "b"' and kept[0][3] is None and kept[1][2:] == (None, 3.0) and kept[2][1:] == (None, None, 4.0)
+    assert len(tables.read_daily_climate(spark, str(path), "drop").collect()) == 2
+    with pytest.raises(Exception, match="(?i)malformed|parse|cast"):
+        tables.read_daily_climate(spark, str(path), "raise").collect()
+
+
+def test_distinct_counts_scan_the_input_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(1000).selectExpr("id % 7 AS a", "IF(id % 11 = 0, NULL, id % 11) AS b", "id AS c").write.parquet(path)
+    out = summaries.distinct_counts(spark.read.parquet(path), ["a", "b", "c"])
+    assert tuple(out.first()) == (7, 10, 1000)
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
