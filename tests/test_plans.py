@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridtrend import schemas
+from gridtrend.bindings import Tables
 from gridtrend.catalogue import QUERIES
+from gridtrend.catalogue.field import CHOSEN
 from gridtrend.plans import curation, survey
 from gridtrend.sources import tables
 
@@ -122,3 +124,10 @@ def test_same_rows_at_any_partitioning(spark, name):
         seen.add(str(sorted(map(str, QUERIES[name](spark, SF).collect()))))
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert len(seen) == 1
+
+
+def test_single_species_grid_keeps_every_row_of_its_species(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = Tables(spark, folder).curated().filter(F.col("species").isin(list(CHOSEN))).count()
+    got = QUERIES["single_species_grid"](spark, folder).agg(F.sum("n")).first()[0]
+    assert got == rows > 0
