@@ -67,3 +67,42 @@ def test_parts_of_long_texts_agree(monkeypatch):
     monkeypatch.setattr(T, "PART", 37)
     parts = model.pooled(ids)
     assert np.allclose(whole[0], parts[0], atol=1e-5) and (whole[1] == parts[1]).all()
+
+
+def test_every_labelled_row_takes_part(spark):
+    rows = [(i, f"lone{i} quaffed", "en") for i in range(8_000)] + [(i, f"lone{i} abc", "en") for i in range(8_000, 9_000)]
+    labels = [(i, int(i < 8_000)) for i, _, _ in rows]
+    model = T.learned(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS))
+    seen = [model.tables[0][T.word_buckets(f"lone{i}")[0, 0], 0] != 0 for i in range(8_000)]
+    assert np.mean(seen) > 0.75  # the fifth that calibrates is not in the embeddings
+
+
+def test_many_shards(spark, trained, monkeypatch):
+    df, labels, _ = trained
+    monkeypatch.setattr(T, "SHARD_BYTES", 15_000)
+    train = spark.createDataFrame([x for x in labels if x[0] % 4 != 2], LABELS)
+    model, again = T.learned(df, train), T.learned(df.repartition(5), train)
+    scores = {r["doc_id"]: r["s"] for r in df.select("doc_id", T.scored(df, model).alias("s")).collect()}
+    y = np.array([l for d, l in labels if d % 4 == 2])
+    s = np.array([scores[d] for d, _ in labels if d % 4 == 2])
+    assert np.mean(s[y == 1][:, None] > s[y == 0][None, :]) >= 0.9
+    text = "zorgle abc quaffed"
+    assert again.score(text) == pytest.approx(model.score(text), abs=1e-6)
+
+
+def test_changes_move_a_network_to_where_they_were_made():
+    r = np.random.default_rng(3)
+    texts = [T.word_buckets(" ".join(r.choice(list("abcdefgh"), r.integers(0, 9)))) for _ in range(200)]
+    labels = np.array([int(len(t) > 4) for t in texts])
+    shared, model = T.Network(), T.Network()
+    model.epoch(texts, labels, 1)
+    slots, values = model.changes(shared)
+    shared.move(slots, values / T.UNIT)
+    for a, b in zip([*shared.tables, *shared.squares, *shared.state()], [*model.tables, *model.squares, *model.state()]):
+        assert np.allclose(a, b, atol=1e-6)
+
+
+def test_empty_labelled_texts(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else "", None) for i in range(40)], DOCS)
+    model = T.learned(df, spark.createDataFrame([(i, int(i < 10)) for i in range(40)], LABELS))
+    assert 0 <= model.score(None) == model.score("") <= 1
