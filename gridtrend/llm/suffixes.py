@@ -127,37 +127,35 @@ def unpack(b: bytes) -> np.ndarray:
 # Suffix sort
 
 
-class Prefixes:
-    """Polynomial hashes of all prefixes of a text: the hash of any substring takes
-    two look-ups. Two substrings are compared by cross-multiplying with the powers at
-    their starts, modulo a prime."""
-
-    def __init__(self, text: np.ndarray):
-        self.text = text
-        power = np.ones(1, np.int64)
-        while len(power) < len(text):
-            step = power[-1] * BASE % PRIME
-            power = np.concatenate([power, power * step % PRIME])
-        self.power = power[: len(text)]
-        self.sums = np.concatenate([[0], np.cumsum((text.astype(np.int64) + 1) * self.power % PRIME)])
-
-    def same(self, s: np.ndarray, t: np.ndarray, length) -> np.ndarray:
-        a = (self.sums[s + length] - self.sums[s]) % PRIME * self.power[t] % PRIME
-        return a == (self.sums[t + length] - self.sums[t]) % PRIME * self.power[s] % PRIME
-
-    def compare(self, s: np.ndarray, t: np.ndarray, length: int) -> np.ndarray:
+class Pieces:
+    """Hashes of all substrings whose length is a power of two, by doubling: a
+    polynomial modulo a prime. Two suffixes are compared piece by piece, the longest
+    first, with two look-ups for each length."""
+
+    def __init__(self, text: np.ndarray, length: int):
+        self.text, self.length = text, length
+        self.levels = [(text.astype(np.int64) % PRIME).astype(np.int32)]
+        power = BASE % PRIME
+        for k in range(length.bit_length() - 1):
+            low = self.levels[-1]
+            high = np.zeros(len(text), np.int64)
+            np.multiply(low, power, out=high, dtype=np.int64)
+            high[: len(text) - (1 << k)] += low[1 << k :]
+            high %= PRIME
+            self.levels.append(high.astype(np.int32))
+            power = power * power % PRIME
+
+    def compare(self, s: np.ndarray, t: np.ndarray) -> np.ndarray:
         """Sign of suffix s against suffix t over ``length`` bytes: the common
         extension is found by binary search over hashes, and the next byte decides."""
-        sign = np.zeros(len(s), np.int8)
-        differ = np.flatnonzero(~self.same(s, t, length))
-        s, t = s[differ], t[differ]
-        low, high = np.zeros(len(s), np.int64), np.full(len(s), length - 1)
-        for _ in range(int(length - 1).bit_length()):
-            middle = (low + high + 1) // 2
-            equal = self.same(s, t, middle)
-            low, high = np.where(equal, middle, low), np.where(equal, high, middle - 1)
-        sign[differ] = np.sign(self.text[s + low].astype(np.int16) - self.text[t + low].astype(np.int16))
-        return sign
+        common = np.zeros(len(s), np.int64)
+        for k in reversed(range(len(self.levels))):
+            level, step = self.levels[k], 1 << k
+            equal = level.take(s + common) == level.take(t + common)
+            equal &= common <= self.length - step
+            common += equal * np.int64(step)
+        sign = np.sign(self.text.take(s + common).astype(np.int16) - self.text.take(t + common).astype(np.int16))
+        return np.where(common < self.length, sign, 0).astype(np.int8)
 
 
 def adjacent(words: np.ndarray, s: np.ndarray, t: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +187,7 @@ def suffix_sort(text: np.ndarray, at: np.ndarray, group: np.ndarray, length: int
     sizes = np.diff(np.append(heads, len(g)))
     first, size = np.repeat(heads, sizes), np.repeat(sizes, sizes)
     local = np.arange(len(g)) - first
-    hashes, width = Prefixes(text), 1
+    hashes, width = Pieces(text, length), 1
     while True:
         act = np.flatnonzero(size > width)
         if not len(act):
@@ -206,7 +204,7 @@ def suffix_sort(text: np.ndarray, at: np.ndarray, group: np.ndarray, length: int
             if not len(go):
                 break
             m = (a[go] + b[go]) // 2
-            sign = hashes.compare(own[go], at[order[base[go] + m]], length)
+            sign = hashes.compare(own[go], at[order[base[go] + m]])
             up = (sign > 0) | ((sign == 0) & ~left[go])
             a[go], b[go] = np.where(up, m + 1, a[go]), np.where(up, b[go], m)
         place = base + block + np.where(left, q - block, q - block - width) + a - low

@@ -94,3 +94,15 @@ def test_tiles_give_the_same_anchors(monkeypatch):
     monkeypatch.setattr(suffixes, "TILE", 777)
     again = suffixes.runs(text, ends, 50)
     assert windows == {p: int(a) for f, n, a, _ in zip(*again) for p in range(f, f + n)}
+
+
+def test_suffixes_compare_by_pieces():
+    r = np.random.default_rng(4)
+    text = np.concatenate([np.tile(r.integers(97, 99, 700).astype(np.uint8), 3), np.zeros(suffixes.PAD, np.uint8)])
+    text[r.integers(0, 2100, 20)] = 200
+    s, t = r.integers(0, 2000, (2, 4000))
+    s[:1000] = t[:1000] % 700 + 700  # many pairs with long common beginnings
+    for length in (1, 7, 12, 50, 64):
+        a, b = ([text[i : i + length].tobytes() for i in x] for x in (s, t))
+        sign = suffixes.Pieces(text, length).compare(s, t)
+        assert sign.tolist() == [(x > y) - (x < y) for x, y in zip(a, b)]
