@@ -134,15 +134,15 @@ class Pieces:
 
     def __init__(self, text: np.ndarray, length: int):
         self.text, self.length = text, length
-        self.levels = [(text.astype(np.int64) % PRIME).astype(np.int32)]
+        self.levels = [text.astype(np.uint32) % np.uint32(PRIME)]
         power = BASE % PRIME
         for k in range(length.bit_length() - 1):
             low = self.levels[-1]
-            high = np.zeros(len(text), np.int64)
-            np.multiply(low, power, out=high, dtype=np.int64)
+            high = low.astype(np.uint64)
+            high *= np.uint64(power)
             high[: len(text) - (1 << k)] += low[1 << k :]
-            high %= PRIME
-            self.levels.append(high.astype(np.int32))
+            high -= high // np.uint64(PRIME) * np.uint64(PRIME)  # faster than a remainder
+            self.levels.append(high.astype(np.uint32))
             power = power * power % PRIME
 
     def compare(self, s: np.ndarray, t: np.ndarray) -> np.ndarray:
