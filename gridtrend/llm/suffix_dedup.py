@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import math
 import uuid
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridtrend.llm.common import keep, new_folder
-from gridtrend.llm.suffixes import PAD, hashed, pack, planes, runs, suffix_sort, unpack, unplanes, words8
+from gridtrend.llm.suffixes import PAD, mixed, pack, planes, runs, suffix_sort, unpack, unplanes, word_offsets, words8
 
 LENGTH = 50
 CHUNK_BYTES = 4 << 20
@@ -67,7 +66,8 @@ class Chunk:
             self.notes.setdefault(kind, []).append((a, b, c))
         copies = {a for a, _, _ in self.notes.get("copy", ())}
         self.copy = np.array([b"%d|%s" % (d, g.encode()) in copies for d, g in zip(self.doc.tolist(), digest)], bool)
-        self.text = np.frombuffer(b"".join([*self.body, bytes(4096)]), np.uint8)
+        self.bytes = b"".join([*self.body, bytes(4096)])
+        self.text = np.frombuffer(self.bytes, np.uint8)
         self.ends = np.cumsum([len(b) for b in self.body], dtype=np.int64)
         self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
 
@@ -109,8 +109,6 @@ def ramp(n: np.ndarray) -> np.ndarray:
 
 
 def hash_at(words: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
-    from gridtrend.llm.suffixes import mixed, word_offsets
-
     offsets, drop = word_offsets(length)
     h = np.zeros(len(place), np.uint64)
     for o in offsets:
@@ -118,9 +116,25 @@ def hash_at(words: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
     return h >> np.uint64(1)
 
 
-def pieces(text: np.ndarray, start: np.ndarray, n: np.ndarray) -> bytes:
-    """The bytes of text[start : start + n], end to end."""
-    return text[np.repeat(start, n) + ramp(n)].tobytes()
+def pieces(text: bytes, start: np.ndarray, n: np.ndarray) -> bytes:
+    """The bytes of text[start : start + n], end to end, compressed."""
+    joined = b"".join([text[a:b] for a, b in zip(start.tolist(), (start + n).tolist())])
+    return pa.Codec("zstd", compression_level=1).compress(joined, asbytes=True)
+
+
+def unpieced(sent: dict, length: int) -> bytes:
+    strings = len(sent["hash"]) // 8
+    size = strings * length if sent["hot"] else int(np.frombuffer(sent["n"], np.uint8).sum(dtype=np.int64)) + strings * (length - 1)
+    return pa.Codec("zstd").decompress(sent["text"], size, asbytes=True)
+
+
+def dealt(h: np.ndarray, buckets: int):
+    """The places of hashes by their bucket: (bucket, places)."""
+    bucket = mixed_bucket(h, buckets)
+    order = np.argsort(bucket, kind="stable")
+    edge = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
+    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        yield int(bucket[order[lo]]), order[lo:hi]
 
 
 def anchor_hashes(buckets: int, length: int):
@@ -130,20 +144,10 @@ def anchor_hashes(buckets: int, length: int):
         rows = []
         if len(texts):
             h, counts = np.unique(Chunk(texts, notes).runs(length)[3], return_counts=True)
-            bucket = mixed_bucket(h, buckets)  # anchors have small hashes, so not by range
-            order = np.argsort(bucket, kind="stable")
-            h, counts = h[order], counts[order]
-            edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(edge)).tolist():
-                s = slice(edge[b], edge[b + 1])
-                rows.append(
-                    {
-                        "bucket": b,
-                        "chunk": texts["chunk"][0].as_py(),
-                        "hash": pack(h[s]),
-                        "n": np.minimum(counts[s], 65535).astype(np.uint16).tobytes(),
-                    }
-                )
+            counts = np.minimum(counts, 65535).astype(np.uint16)
+            chunk = texts["chunk"][0].as_py()
+            for b, i in dealt(h, buckets):  # anchors have small hashes, so not by range
+                rows.append({"bucket": b, "chunk": chunk, "hash": pack(h[i]), "n": counts[i].tobytes()})
         return as_table(rows, SENT_TYPES)
 
     return run
@@ -178,9 +182,8 @@ def shared_strings(buckets: int, length: int):
         chunk, name, rows = Chunk(texts, notes), texts["chunk"][0].as_py(), []
         (first, n, anchor, h, row), hot = chunk.shared(length)
         cold = np.flatnonzero(~hot)
-        bucket = mixed_bucket(h[cold], buckets)
-        for b in np.unique(bucket).tolist():
-            i = cold[bucket == b]
+        for b, i in dealt(h[cold], buckets):
+            i = cold[i]
             rows.append(
                 {
                     "bucket": b,
@@ -192,16 +195,15 @@ def shared_strings(buckets: int, length: int):
                     "doc": planes(chunk.doc[row[i]]),
                     "row": planes(row[i].astype(np.uint32)),
                     "place": planes((first[i] - chunk.starts[row[i]]).astype(np.uint64)),
-                    "text": zlib.compress(pieces(chunk.text, first[i], n[i] + length - 1), 1),
+                    "text": pieces(chunk.bytes, first[i], n[i] + length - 1),
                 }
             )
         i = np.flatnonzero(hot)
         place, of, h = chunk.strings(first[i], n[i], row[i], length)
         order = np.lexsort((chunk.doc[of], h))
         lead = order[np.concatenate([[True], h[order][1:] != h[order][:-1]])] if len(order) else order
-        bucket = mixed_bucket(h[lead], buckets)
-        for b in np.unique(bucket).tolist():
-            i = lead[bucket == b]
+        for b, i in dealt(h[lead], buckets):
+            i = lead[i]
             rows.append(
                 {
                     "bucket": b,
@@ -209,7 +211,7 @@ def shared_strings(buckets: int, length: int):
                     "hot": True,
                     "hash": planes(h[i]),
                     "doc": planes(chunk.doc[of[i]]),
-                    "text": zlib.compress(pieces(chunk.text, place[i], np.full(len(i), length)), 1),
+                    "text": pieces(chunk.bytes, place[i], np.full(len(i), length)),
                 }
             )
         return as_table(rows, SENT_TYPES)
@@ -226,56 +228,56 @@ def sorted_strings(length: int):
 
     def run(sent: pa.Table) -> pa.Table:
         parts = sent.to_pylist()
-        joined = np.frombuffer(b"".join([*(zlib.decompress(p["text"]) for p in parts), bytes(PAD)]), np.uint8)
-        at, group, doc, part, item, window, base = [], [], [], [], [], [], 0
-        for k, p in enumerate(parts):
-            h, d = unplanes(p["hash"], np.uint64), unplanes(p["doc"], np.int64)
+        text = np.frombuffer(b"".join([*(unpieced(p, length) for p in parts), bytes(PAD)]), np.uint8)
+        key, doc, n, anchor = [], [], [], []
+        for p in parts:
+            h = unplanes(p["hash"], np.uint64)
             if p["hot"]:
-                n, o = np.ones(len(h), np.int64), np.zeros(len(h), np.int64)
+                key.append(h | np.uint64(1 << 63))
+                n.append(np.ones(len(h), np.int64))
+                anchor.append(np.zeros(len(h), np.int64))
             else:
-                n = np.frombuffer(p["n"], np.uint8).astype(np.int64)
-                o = np.frombuffer(p["first"], np.uint8).astype(np.int64)
-            size = n + length - 1
-            j, i = ramp(n), np.repeat(np.arange(len(h)), n)
-            at.append(np.repeat(base + np.cumsum(size) - size, n) + j)
-            key = h[i] | np.uint64(1 << 63) if p["hot"] else (h[i] << np.uint64(6)) | (o[i] - j).astype(np.uint64)
-            group.append(key)
-            doc.append(d[i])
-            part.append(np.full(len(i), k, np.int32))
-            item.append(i)
-            window.append(j.astype(np.uint8))
-            base += int(size.sum())
-        at, group, doc, part, item, window = map(np.concatenate, (at, group, doc, part, item, window))
-        # Only groups of several documents have anything to remove.
-        order = np.argsort(group, kind="stable")
-        heads = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]]))
-        low, high = np.minimum.reduceat(doc[order], heads), np.maximum.reduceat(doc[order], heads)
-        several = np.repeat(low < high, np.diff(np.append(heads, len(order))))
-        i = order[several]
-        at, group, doc, part, item, window = (x[i] for x in (at, group, doc, part, item, window))
-        if not len(at):
+                key.append(h)
+                n.append(np.frombuffer(p["n"], np.uint8).astype(np.int64))
+                anchor.append(np.frombuffer(p["first"], np.uint8).astype(np.int64))
+            doc.append(unplanes(p["doc"], np.int64))
+        edge = np.cumsum([0, *map(len, key)])
+        key, doc, n, anchor = map(np.concatenate, (key, doc, n, anchor))
+        begin = np.cumsum(n + length - 1) - (n + length - 1)
+        # Only anchors of several documents have anything to remove.
+        every, of = np.unique(key, return_inverse=True)
+        low, high = np.full(len(every), NO_ID), np.full(len(every), -NO_ID - 1)
+        np.minimum.at(low, of, doc)
+        np.maximum.at(high, of, doc)
+        used = np.flatnonzero((low < high)[of])
+        if not len(used):
             return as_table([], NOTE_TYPES)
-        order, same = suffix_sort(joined, at, group, length)
+        doc, n, anchor, begin, of = doc[used], n[used], anchor[used], begin[used], of[used]
+        item, window = np.repeat(np.arange(len(used)), n), ramp(n)
+        group = (of[item] << 6) | (anchor[item] - window)
+        order, same = suffix_sort(text, begin[item] + window, group.astype(np.uint64), length)
         heads = np.flatnonzero(~same)
-        least = np.repeat(np.minimum.reduceat(doc[order], heads), np.diff(np.append(heads, len(order))))
-        gone = np.flatnonzero(doc[order] > least)
-        least, gone = least[gone], order[gone]
-        answer = np.argsort(part[gone], kind="stable")
-        least, gone = least[answer], gone[answer]
-        rows, edge = [], np.searchsorted(part[gone], np.arange(len(parts) + 1))
-        for k in np.flatnonzero(np.diff(edge)).tolist():
-            i = gone[edge[k] : edge[k + 1]]
-            p, kept = parts[k], {}
+        owner = doc[item[order]]
+        least = np.repeat(np.minimum.reduceat(owner, heads), np.diff(np.append(heads, len(order))))
+        gone = owner > least
+        bits = np.zeros(len(order), np.uint64)
+        bits[order[gone]] = 1
+        mask = np.bitwise_or.reduceat(bits << window.astype(np.uint64), np.cumsum(n) - n)
+        told = np.zeros(len(used), np.int64)
+        told[item[order[gone]]] = least[gone]  # of a hot string, which is one window
+        rows, edge = [], np.searchsorted(used, edge)
+        first = np.concatenate([np.arange(len(p["hash"]) // 8) for p in parts])[used]
+        for k, p in enumerate(parts):
+            i = np.flatnonzero(mask[edge[k] : edge[k + 1]]) + edge[k]
+            if not len(i):
+                continue
+            own = first[i]
             if p["hot"]:
-                kept = {"kind": "hot", "a": planes(unplanes(p["hash"], np.uint64)[item[i]])}
-                kept["b"] = planes(least[edge[k] : edge[k + 1]])
+                kept = {"kind": "hot", "a": planes(unplanes(p["hash"], np.uint64)[own]), "b": planes(told[i])}
             else:
-                mask = np.zeros(len(p["n"]), np.uint64)
-                np.bitwise_or.at(mask, item[i], np.uint64(1) << window[i].astype(np.uint64))
-                used = np.flatnonzero(mask)
-                kept = {"kind": "cold", "a": planes(unplanes(p["row"], np.uint32)[used])}
-                kept["b"] = planes(unplanes(p["place"], np.uint64)[used])
-                kept["c"] = planes(mask[used])
+                kept = {"kind": "cold", "a": planes(unplanes(p["row"], np.uint32)[own])}
+                kept["b"] = planes(unplanes(p["place"], np.uint64)[own])
+                kept["c"] = planes(mask[i])
             rows.append({"chunk": p["chunk"], **kept})
         return as_table(rows, NOTE_TYPES)
 
@@ -315,22 +317,40 @@ def remaining(length: int):
             least = np.empty(len(known), np.int64)
             least[order] = np.repeat(doc[order[heads]], np.diff(np.append(heads, len(order))))
             starts.append(place[chunk.doc[of] > least[: len(h)]])
-        every = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-        size = len(chunk.text) + 1
-        covered = np.cumsum(np.bincount(every, minlength=size) - np.bincount(every + length, minlength=size)) > 0
-        rows = []
-        for k, body in enumerate(chunk.body):
-            if chunk.copy[k] and len(body) >= length:
-                gone = np.ones(len(body), bool)
-            else:
-                gone = covered[chunk.starts[k] : chunk.ends[k]]
-            edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-            spans = [{"start": a, "stop": b} for a, b in edges.reshape(-1, 2).tolist()]
-            kept = np.frombuffer(body, np.uint8)[~gone].tobytes() if spans else body
-            rows.append(
-                {"id": chunk.id[k], "n_bytes": len(body), "n_removed": len(body) - len(kept), "spans": spans, "kept": kept}
-            )
-        return as_table(rows, RESULT_TYPES)
+        covered = np.zeros(len(chunk.text) - 4096, bool)
+        for at in starts:
+            covered[at] = True
+        span = 1
+        while span < length:  # a string's start marks its other bytes
+            step = min(span, length - span)
+            covered[step:] |= covered[:-step]
+            span += step
+        size = chunk.ends - chunk.starts
+        for k in np.flatnonzero(chunk.copy & (size >= length)).tolist():
+            covered[chunk.starts[k] : chunk.ends[k]] = True
+        filled = size > 0
+        first, last = covered.copy(), covered.copy()
+        first[1:] &= ~covered[:-1]
+        first[chunk.starts[filled]] = covered[chunk.starts[filled]]
+        last[:-1] &= ~covered[1:]
+        last[chunk.ends[filled] - 1] = covered[chunk.ends[filled] - 1]
+        start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
+        row = np.searchsorted(chunk.ends, start, "right")
+        removed = np.zeros(len(size), np.int64)
+        np.add.at(removed, row, stop - start)
+        pairs = [start - chunk.starts[row], stop - chunk.starts[row]]
+        spans = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in pairs], ["start", "stop"])
+        edges = np.searchsorted(row, np.arange(len(size) + 1)).astype(np.int32)
+        left = chunk.text[: len(covered)][~covered].tobytes()
+        cut = np.concatenate([[0], np.cumsum(size - removed)]).tolist()
+        columns = {
+            "id": pa.array(chunk.id, pa.int64()),
+            "n_bytes": pa.array(size),
+            "n_removed": pa.array(removed),
+            "spans": pa.ListArray.from_arrays(pa.array(edges), spans),
+            "kept": [left[a:b] for a, b in zip(cut[:-1], cut[1:])],
+        }
+        return pa.table(columns, schema=pa.schema(list(RESULT_TYPES.items())))
 
     return run
 

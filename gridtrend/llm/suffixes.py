@@ -12,23 +12,38 @@ GRAM = 20
 MOST_WINDOWS = 63
 PLACE_BITS = 20
 HASH_BITS = 64 - PLACE_BITS
-TILE = (1 << PLACE_BITS) - 4096
+#: Places hashed at a time: few enough for the arrays of a step to stay in the cache.
+TILE = 1 << 16
 PAD = 64
+#: Bytes up to which suffixes are sorted word by word; longer ones by hashes of pieces.
+SPELT = 1024
 PRIME, BASE = (1 << 31) - 1, 911_382_323
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    y = x >> np.uint64(31)
+    y ^= x
+    y *= np.uint64(0x9E3779B97F4A7C15)
+    t = y >> np.uint64(29)
+    y ^= t
+    y *= np.uint64(0xD6E8FEB86659FD93)
+    np.right_shift(y, np.uint64(32), out=t)
+    y ^= t
+    return y
 
 
 def words8(text: np.ndarray) -> np.ndarray:
     """The big-endian 8-byte word that starts at every byte but the last seven."""
-    x = text.astype(np.uint64)
-    x = (x[:-1] << np.uint64(8)) | x[1:]
-    x = (x[:-2] << np.uint64(16)) | x[2:]
-    return (x[:-4] << np.uint64(32)) | x[4:]
+    y = text[:-1].astype(np.uint16)
+    y <<= np.uint16(8)
+    y |= text[1:]
+    x = y[:-2].astype(np.uint32)
+    x <<= np.uint32(16)
+    x |= y[2:]
+    w = x[:-4].astype(np.uint64)
+    w <<= np.uint64(32)
+    w |= x[4:]
+    return w
 
 
 def word_offsets(length: int) -> tuple[list[int], int]:
@@ -41,9 +56,13 @@ def word_offsets(length: int) -> tuple[list[int], int]:
 def hashed(words: np.ndarray, length: int, n: int) -> np.ndarray:
     """Hash of the ``length`` bytes at each of the first ``n`` places."""
     offsets, drop = word_offsets(length)
-    h = np.zeros(n, np.uint64)
-    for o in offsets:
-        h = mixed((h * np.uint64(0xFF51AFD7ED558CCD)) ^ (words[o : o + n] >> np.uint64(drop)))
+    words = mixed(words >> np.uint64(drop) if drop else words)
+    factor = 0xFF51AFD7ED558CCD
+    h = words[:n] * np.uint64(factor)
+    part = np.empty_like(h)
+    for o in offsets[1:]:
+        factor = factor * 0xC4CEB9FE1A85EC53 % (1 << 64)
+        h += np.multiply(words[o : o + n], np.uint64(factor), out=part)
     return h
 
 
@@ -65,28 +84,28 @@ def runs(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, .
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     long = ends - starts >= length
     total = int(ends[-1]) if len(ends) else 0
+    open_ = np.zeros(total + 1, np.int8)
+    open_[starts[long]] += 1
+    open_[ends[long] - length + 1] -= 1
+    inside = np.cumsum(open_, dtype=np.int8).view(bool)
+    place_mask = np.uint64((1 << PLACE_BITS) - 1)
+    numbers = np.arange(min(TILE, total) + grams, dtype=np.uint64)
     out = []
     for at in range(0, total, TILE):
         n = min(TILE, total - at)
-        open_ = np.zeros(n + 1, np.int32)
-        s, e = starts[long] - at, ends[long] - length + 1 - at
-        seen = (e > 0) & (s < n)
-        np.add.at(open_, np.maximum(s[seen], 0), 1)
-        np.add.at(open_, np.minimum(e[seen], n), -1)
-        valid = np.cumsum(open_[:-1]) > 0
+        valid = inside[at : at + n]
         if not valid.any():
             continue
         places = n + grams - 1
-        words = words8(text[at : at + places + gram + 8])
-        low = hashed(words, gram, places) & ~np.uint64((1 << PLACE_BITS) - 1)
-        low |= np.arange(places, dtype=np.uint64)
-        span = 1
-        while span * 2 <= grams:
-            low = np.minimum(low[:-span], low[span:])
-            span *= 2
-        if span < grams:
-            low = np.minimum(low[: -(grams - span)], low[grams - span :])
-        low = low[:n]
+        low = hashed(words8(text[at : at + places + gram + 8]), gram, places)
+        low &= ~place_mask
+        low |= numbers[:places]
+        span, other = 1, np.empty_like(low)
+        while span < grams:
+            step = min(span, grams - span)
+            size = len(low) - step
+            low, other = np.minimum(low[:-step], low[step:], out=other[:size]), low
+            span += step
         change = low[1:] != low[:-1]
         first = valid.copy()
         first[1:] &= change | ~valid[:-1]
@@ -94,7 +113,7 @@ def runs(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, .
         last[:-1] &= change | ~valid[1:]
         f, l = np.flatnonzero(first), np.flatnonzero(last)
         chosen = low[f]
-        anchor = (chosen & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+        anchor = (chosen & place_mask).astype(np.int64)
         out.append((f + at, l - f + 1, anchor + at, chosen >> np.uint64(PLACE_BITS)))
     if not out:
         z = np.zeros(0, np.int64)
@@ -173,21 +192,67 @@ def suffix_sort(text: np.ndarray, at: np.ndarray, group: np.ndarray, length: int
     """Sort suffixes, within their groups, by their first ``length`` bytes.
 
     Returns the order, and whether each sorted suffix is equal to the one before and
-    of its group. It is a merge sort, bottom up, of all groups at once: in each pass a
-    suffix finds its place in the sibling run by binary search with hashed
-    comparisons. At the end every neighbouring pair is compared by its bytes; a
-    group that a hash collision has left out of order is sorted by its bytes.
-    ``text`` has PAD bytes behind the last suffix.
+    of its group. ``text`` has PAD bytes behind the last suffix.
     """
-    order = np.argsort(group, kind="stable")
+    bits = np.uint64(len(group).bit_length())
+    if len(group) and int(group.max()) >> (64 - int(bits)) == 0:  # faster than sorting the places
+        keys = np.sort((group << bits) | np.arange(len(group), dtype=np.uint64))
+        order, g = (keys & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), keys >> bits
+    else:
+        order = np.argsort(group, kind="stable")
+        g = group[order]
+    same = np.zeros(len(order), bool)
+    same[1:] = g[1:] == g[:-1]
+    return (sorted_by_words if length <= SPELT else sorted_by_pieces)(text, at, order, same, length)
+
+
+def sorted_by_words(text, at, order, same, length):
+    """All groups at once, a word of eight bytes at a time: only suffixes equal so far
+    to a neighbour are looked at, and only groups found out of order are moved."""
+    words = words8(text)
+    offsets, drop = word_offsets(length)
+    tied = same.copy()
+    tied[:-1] |= same[1:]
+    act = np.flatnonzero(tied)
+    pick, inner = order[act], same[act]
+    place = at[pick]
+    for o in offsets:
+        if not len(act):
+            break
+        w = words[place + o]
+        if drop:
+            w >>= np.uint64(drop)
+        behind = inner[1:] & (w[1:] < w[:-1])
+        if behind.any():
+            part = np.cumsum(~inner)
+            moved = np.zeros(part[-1] + 1, bool)
+            moved[part[1:][behind]] = True
+            i = np.flatnonzero(moved[part])
+            j = i[np.lexsort((w[i], part[i]))]
+            w[i], pick[i], place[i] = w[j], pick[j], place[j]
+            order[act[i]] = pick[i]
+        split = inner[1:] & (w[1:] != w[:-1])
+        if split.any():
+            inner[1:] &= ~split
+            same[act] = inner
+            tied = inner.copy()
+            tied[:-1] |= inner[1:]
+            act, pick, place, inner = act[tied], pick[tied], place[tied], inner[tied]
+    return order, same
+
+
+def sorted_by_pieces(text, at, order, same, length):
+    """A merge sort, bottom up, of all groups at once: in each pass a suffix finds its
+    place in the sibling run by binary search with hashed comparisons. At the end every
+    neighbouring pair is compared by its bytes; a group that a hash collision has left
+    out of order, or with two suffixes at one place, is sorted by its bytes."""
     if not len(order):
-        return order, np.zeros(0, bool)
-    g = group[order]
-    heads = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-    sizes = np.diff(np.append(heads, len(g)))
+        return order, same
+    heads = np.flatnonzero(~same)
+    sizes = np.diff(np.append(heads, len(order)))
     first, size = np.repeat(heads, sizes), np.repeat(sizes, sizes)
-    local = np.arange(len(g)) - first
-    hashes, width = Pieces(text, length), 1
+    local = np.arange(len(order)) - first
+    hashes, width, members = Pieces(text, length), 1, order
     while True:
         act = np.flatnonzero(size > width)
         if not len(act):
@@ -214,11 +279,13 @@ def suffix_sort(text: np.ndarray, at: np.ndarray, group: np.ndarray, length: int
     words = words8(text)
     inner = np.flatnonzero(local > 0)
     equal, ordered = adjacent(words, at[order[inner - 1]], at[order[inner]], length)
-    for head in np.unique(first[inner[~ordered]]):
-        part = order[head : head + size[head]]
+    twice = np.bincount(order, minlength=len(order))[order] > 1
+    wrong = np.unique(np.concatenate([first[inner[~ordered]], first[twice]]))
+    for head in wrong:
+        part = members[head : head + size[head]]
         part = part[sorted(range(len(part)), key=lambda i: text[at[part[i]] : at[part[i]] + length].tobytes())]
         order[head : head + size[head]] = part
-    if not ordered.all():
+    if len(wrong):
         equal, _ = adjacent(words, at[order[inner - 1]], at[order[inner]], length)
     same = np.zeros(len(order), bool)
     same[inner] = equal

@@ -106,3 +106,49 @@ def test_suffixes_compare_by_pieces():
         a, b = ([text[i : i + length].tobytes() for i in x] for x in (s, t))
         sign = suffixes.Pieces(text, length).compare(s, t)
         assert sign.tolist() == [(x > y) - (x < y) for x, y in zip(a, b)]
+
+
+def sort_input(seed, length):
+    """Periodic text with planted changes: groups of equal, nearly equal and other suffixes."""
+    r = np.random.default_rng(seed)
+    text = np.concatenate([np.tile(r.integers(97, 99, 900).astype(np.uint8), 4), np.zeros(suffixes.PAD, np.uint8)])
+    text[r.integers(0, 3600, 40)] = 200
+    at = r.permutation(3600 - length)
+    return text, at, (at % 7).astype(np.uint64)
+
+
+def check_sorted(text, at, group, length):
+    order, same = suffixes.suffix_sort(text, at, group, length)
+    keys = [(int(group[i]), text[at[i] : at[i] + length].tobytes()) for i in order]
+    assert sorted(order.tolist()) == list(range(len(at)))
+    assert keys == sorted(keys)
+    assert same.tolist() == [False, *(a == b for a, b in zip(keys, keys[1:]))]
+
+
+@pytest.mark.parametrize("length", [1, 7, 8, 12, 50, 64, 200])
+def test_suffixes_are_sorted_word_by_word(monkeypatch, length):
+    # Hashing every substring of the text cost most of the CPU time of op1.
+    monkeypatch.setattr(suffixes, "Pieces", None)
+    text, at, group = sort_input(5, length)
+    check_sorted(text, at, group, length)
+    check_sorted(text, at, group + np.uint64(1 << 63), length)  # keys that leave no bits for places
+
+
+@pytest.mark.parametrize("prime", [suffixes.PRIME, 7])
+def test_long_suffixes_are_sorted_by_pieces(monkeypatch, prime):
+    monkeypatch.setattr(suffixes, "SPELT", 30)
+    monkeypatch.setattr(suffixes, "PRIME", prime)
+    for length in (31, 64, 200):
+        check_sorted(*sort_input(6, length), length)
+
+
+def test_sort_of_nothing():
+    order, same = suffixes.suffix_sort(np.zeros(suffixes.PAD, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.uint64), 50)
+    assert len(order) == len(same) == 0
+
+
+def test_long_strings_equal_brute_force(spark, monkeypatch):
+    r = random.Random(8)
+    base = "".join(r.choice("abcd ") for _ in range(900))
+    rows = [(i, base[r.randint(0, 400) :] + "".join(r.choice("xyz") for _ in range(i))) for i in range(30)]
+    assert found(spark.createDataFrame(rows, SCHEMA), length=200, chunk_bytes=4_000, hot=3) == brute(rows, 200)
