@@ -64,8 +64,8 @@ class Chunk:
         self.notes: dict[str, list[tuple]] = {}
         for kind, a, b, c in zip(*(notes[k].to_pylist() for k in ("kind", "a", "b", "c"))):
             self.notes.setdefault(kind, []).append((a, b, c))
-        copies = {a for a, _, _ in self.notes.get("copy", ())}
-        self.copy = np.array([b"%d|%s" % (d, g.encode()) in copies for d, g in zip(self.doc.tolist(), digest)], bool)
+        lowest = {a.decode(): int(b) for a, b, _ in self.notes.get("copy", ())}
+        self.copy = self.doc > np.array([lowest.get(g, NO_ID) for g in digest], np.int64)
         self.bytes = b"".join([*self.body, bytes(4096)])
         self.text = np.frombuffer(self.bytes, np.uint8)
         self.ends = np.cumsum([len(b) for b in self.body], dtype=np.int64)
@@ -390,14 +390,14 @@ def remove_repeats(
     files = math.ceil(chunks / CHUNKS_A_FILE)
     chunk: Column = F.pmod(F.xxhash64("doc", "digest"), F.lit(chunks)).cast("int").alias("chunk")
     lowest = narrow.groupBy("digest").agg(F.min("doc").alias("low"), F.count(F.lit(1)).alias("n"))
-    copied = lowest.filter("n > 1").drop("n")
-    mark = F.concat_ws("|", F.col("doc").cast("string"), "digest").cast("binary")
-    none = F.lit(None).cast("binary")
+    # A chunk is told once of a text that has copies, so a large group makes no more
+    # rows of its digest than there are chunks.
+    held = narrow.groupBy(chunk, "digest").agg(F.max("doc").alias("high"))
+    note = [F.col(c).cast("string").cast("binary").alias(a) for c, a in (("digest", "a"), ("low", "b"))]
     copies = keep(
-        narrow.join(copied, "digest")
-        .filter("doc > low")
-        .select(chunk, F.lit("copy").alias("kind"), mark.alias("a"), none.alias("b"), none.alias("c"))
-        .distinct()
+        held.join(lowest.filter("n > 1"), "digest")
+        .filter("high > low")
+        .select("chunk", F.lit("copy").alias("kind"), *note, F.lit(None).cast("binary").alias("c"))
     )
     name = f"llm_chunks_{uuid.uuid4().hex}"
     writer = rows.withColumn("chunk", chunk).repartition(files, "chunk").write

@@ -152,3 +152,13 @@ def test_long_strings_equal_brute_force(spark, monkeypatch):
     base = "".join(r.choice("abcd ") for _ in range(900))
     rows = [(i, base[r.randint(0, 400) :] + "".join(r.choice("xyz") for _ in range(i))) for i in range(30)]
     assert found(spark.createDataFrame(rows, SCHEMA), length=200, chunk_bytes=4_000, hot=3) == brute(rows, 200)
+
+
+def test_a_large_group_of_copies_is_told_once_to_a_chunk(spark, monkeypatch):
+    kept = []
+    keep = suffix_dedup.keep
+    monkeypatch.setattr(suffix_dedup, "keep", lambda df: kept.append(keep(df)) or kept[-1])
+    text = "a text of which there are many copies, longer than fifty bytes"
+    rows = [(i, text) for i in range(300)] + [(-1, "x" + text), (None, text)]
+    assert found(spark.createDataFrame(rows, SCHEMA)) == brute(rows, 50)
+    assert kept[1].filter("kind = 'copy'").count() == 1
