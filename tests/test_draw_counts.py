@@ -68,3 +68,14 @@ def test_draws_meet_the_rows_in_many_tasks(spark):
     rows = spark.range(64).coalesce(1)
     out = draws.predict_draws(rows, draws.draw_blocks(wide, ["a"], 2), "d.a")
     assert out.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_bins_of_packed_rows(spark):
+    keys = ["id", "part"]
+    arrays = draws.predictive_counts(predictions(spark, False), keys, "n")
+    held = draws.predictive_histograms(predictions(spark, True), keys, "n", 1, ["k"], null_as_zero=True)
+    seen = [
+        sorted(map(tuple, draws.residual_bins(draws.quantile_residuals(draws.residual_bounds(x, keys, "k"), keys)).collect()))
+        for x in (arrays, held)
+    ]
+    assert seen[0] == seen[1] and sum(n for _, n in seen[0]) == 14
