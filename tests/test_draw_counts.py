@@ -79,3 +79,12 @@ def test_bins_of_packed_rows(spark):
         for x in (arrays, held)
     ]
     assert seen[0] == seen[1] and sum(n for _, n in seen[0]) == 14
+
+
+def test_uniformity_of_packed_rows(spark):
+    keys = ["id", "part"]
+    arrays = draws.predictive_counts(predictions(spark, False), keys, "n")
+    held = draws.predictive_histograms(predictions(spark, True), keys, "n", 1, ["k"], null_as_zero=True)
+    residuals = [draws.quantile_residuals(draws.residual_bounds(x, keys, "k"), keys) for x in (arrays, held)]
+    seen = [tuple(draws.uniformity(x, keys).first()) for x in residuals]
+    assert seen[0] == seen[1] and seen[0][0] == 14
